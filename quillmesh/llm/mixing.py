@@ -64,7 +64,7 @@ def draw_shards(quota: np.ndarray, seed: int = SEED) -> np.ndarray:
             want -= int(more.sum())
         shards.append(got)
         total -= int(got.sum())
-    return np.array(shards, np.int64).reshape(-1, len(quota))
+    return np.array(shards, np.int64).reshape(len(shards), len(quota))
 
 
 def permute(k: np.ndarray, n: int, key: int) -> np.ndarray:
