@@ -48,11 +48,11 @@ def jsonl_permissive(spark: SparkSession, path: str, schema: T.StructType) -> Da
 
 def text_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """``(file, pos, value)`` with 1-based line numbers; files are read whole, so they should be small."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    whole = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\\A\ufeff", "").alias("value"))
-    split = whole.filter(usable_file(F.col("file"))).select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r\n?|\n\z", "\n"), "\n")).alias("pos", "value"))
+    whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\\A\ufeff", "").alias("value"))
+    split = whole.filter(usable_file(F.col("file"))).select("file", F.posexplode(F.split(F.regexp_replace(F.regexp_replace("value", r"\r\n?", "\n"), r"\n\z", ""), "\n")).alias("pos", "value"))
     return split.withColumn("pos", F.col("pos") + 1)
 
 
@@ -81,7 +81,7 @@ def tsv_in_band(spark: SparkSession, path: str, marker: str, columns: int, least
 
 def markdown(spark: SparkSession, path: str, segment: str | None = None) -> DataFrame:
     """``(file, text)`` of Markdown files but readmes and licences, under a path segment if given."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
     df = df.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).filter(usable_file(F.col("file")))
     df = df.filter(~F.lower("file").rlike(r"/(?:readme|license|licence)\.md\z"))
     return df.filter(F.col("file").contains(f"/{segment}/")) if segment else df
