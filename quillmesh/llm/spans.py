@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import materialise, text_slices
 
-SENTENCES = 3
+SENTENCES = 2
 WORDS = 20
 #: Sentences with more words than this are cut further, after words that their own hash picks (one in CUT).
 LONG, CUT = 30, 8
 #: Bytes of removal lists up to which they go to every task; beyond it they are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
-_END = re.compile(r"[.!?]+[\"')\]]*[\x20\x09-\x0D]+|\n+")
+_END = re.compile(r"(?<![.!?])[.!?]+[\"')\]]*[\x20\x09-\x0D]+|\n+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
@@ -100,15 +100,20 @@ def span_hashes(docs: DataFrame) -> DataFrame:
 
 def repeated_sentences(docs: DataFrame) -> DataFrame:
     """``(doc_id, tag, at)``: the sorted numbers of the sentences to remove, for documents that have any."""
-    place = (F.coalesce("doc_id", F.lit(2**63 - 1)).cast("decimal(29,0)") * F.lit(2**32).cast("decimal(10,0)")).cast(
-        "decimal(38,0)"
-    ) + F.col("first").cast("decimal(10,0)")
-    placed = span_hashes(docs).withColumn("place", place.cast("decimal(38,0)"))
+    place = (
+        F.coalesce("doc_id", F.lit(2**63 - 1)).cast("decimal(19,0)") * F.lit(2**32).cast("decimal(10,0)")
+        + F.col("first").cast("decimal(10,0)")
+    ).cast("decimal(38,0)")
+    hashed = span_hashes(docs)
     firsts = materialise(
-        placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("place").alias("least")).filter("c > 1").select("key", "least"),
+        hashed.select("key", place.alias("place"))
+        .groupBy("key")
+        .agg(F.count(F.lit(1)).alias("c"), F.min("place").alias("least"))
+        .filter("c > 1")
+        .select("key", "least"),
         "span-firsts",
     )
-    again = placed.join(firsts, "key").filter("place > least")
+    again = hashed.join(firsts, "key").filter(place > F.col("least"))
     return (
         again.select("doc_id", "tag", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("at"))
         .groupBy("doc_id", "tag")

@@ -14,10 +14,10 @@ def slow(rows):
         parsed.append(parts)
         counts = [len(w) for _, _, w in parts]
         for a in range(len(parts)):
-            for b in range(a + 3, len(parts) + 1):
+            for b in range(a + spans.SENTENCES, len(parts) + 1):
                 n = sum(counts[a:b])
-                short = lambda x, y: y - x < 3 or sum(counts[x:y]) < 20
-                if n >= 20 and (short(a, b - 1) or short(a + 1, b)):
+                short = lambda x, y: y - x < spans.SENTENCES or sum(counts[x:y]) < spans.WORDS
+                if n >= spans.WORDS and (short(a, b - 1) or short(a + 1, b)):
                     places[b" ".join(b" ".join(w) for _, _, w in parts[a:b])].append(((d is None, d or 0, a), k, a, b))
     drop = defaultdict(set)
     for found in places.values():
