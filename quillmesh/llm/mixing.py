@@ -211,8 +211,9 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
         F.flatten(F.transform("parts", lambda p: F.slice("words", (p["start"] + 1).cast("int"), p["length"].cast("int")))), " "
     )
     joined = ranges.join(rows.select("row_id", "size"), "row_id").join(whole, "row_id")
+    # words is named twice below: a column named once would be inlined, and split again for each part.
     texts = joined.withColumn("words", F.when(F.col("taken") < F.col("size"), words)).withColumn(
-        "chosen", F.when(F.col("taken") < F.col("size"), chosen).otherwise(F.col("doc.text"))
+        "chosen", F.when(F.size("words") > 0, chosen).otherwise(F.col("doc.text"))
     )
     return texts.select(*[F.col("chosen" if c == "text" else f"doc.`{c}`").alias(c) for c in columns])
 
