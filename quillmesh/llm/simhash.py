@@ -134,9 +134,10 @@ def shard_links(x: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.nda
     spanning forest of them, found breadth-first over the fingerprints not yet reached."""
     n, budget = len(x), 8 * len(x)
     left, right, found = [], [], 0
-    for start in range(0, n, 512):
-        near = np.bitwise_count(x[start : start + 512, None] ^ x[None, start:]) <= radius
-        i, j = np.nonzero(np.triu(near, 1))
+    for start in range(0, n, 128):
+        near = np.bitwise_count(x[start : start + 128, None] ^ x[None, start:]) <= radius
+        i, j = np.divmod(np.flatnonzero(near), n - start)
+        i, j = i[i < j], j[i < j]
         left.append(i + start)
         right.append(j + start)
         found += len(i)
