@@ -21,33 +21,41 @@ WORDS = 20
 LONG, CUT = 30, 8
 #: Bytes of removal lists up to which they go to every task; beyond it they are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
-_END = re.compile(r"(?<![.!?])[.!?]+[\"')\]]*[\x20\x09-\x0D]+|\n+")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+_END = re.compile(rb"(?<![.!?])[.!?]+[\"')\]]*[\x20\x09-\x0D]+|\n+")
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
-def sentences(text: str) -> list[tuple[int, int, tuple[bytes, ...]]]:
-    """``(start, end, words)`` of consecutive sentences that make up the whole text; words lower-case A-Z."""
+def sentences(low: bytes) -> list[tuple[int, int, int, bytes]]:
+    """``(start, end, number of words, words joined by spaces)`` of the consecutive sentences that make up a whole
+    text, which is given as its lower-cased (A-Z) UTF-8."""
     from xxhash import xxh32_intdigest
 
-    out, start, held = [], 0, []
-    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
+    out, start = [], 0
+    ends = [m.end() for m in _END.finditer(low)]
+    if not ends or ends[-1] < len(low):
+        ends.append(len(low))
+    for end in ends:
         if end == start:
             continue
-        words = text[start:end].encode("utf-8", "surrogatepass").lower().split()
+        words = low[start:end].split()
         if len(words) <= LONG:
-            out.append((start, end, tuple(words)))
+            out.append((start, end, len(words), b" ".join(words)))
         else:
             at, held = start, []
-            for m, word in zip(_WORD.finditer(text, start, end), words, strict=True):
+            for m, word in zip(_WORD.finditer(low, start, end), words, strict=True):
                 held.append(word)
                 if xxh32_intdigest(word) % CUT == 0 and m.end() < end:
-                    out.append((at, m.end(), tuple(held)))
+                    out.append((at, m.end(), len(held), b" ".join(held)))
                     at, held = m.end(), []
-            out.append((at, end, tuple(held)))
+            out.append((at, end, len(held), b" ".join(held)))
         start = end
     return out
 
 
+def _utf8(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
 def spans(counts: list[int]) -> set[tuple[int, int]]:
     """``(first, last + 1)`` of the spans over sentences with so many words each (blank ones have none)."""
     out, last, total = set(), 0, 0
@@ -84,9 +92,9 @@ def span_hashes(docs: DataFrame) -> DataFrame:
             for ids, tags, texts in text_slices(batch, ["doc_id", "tag", "text"], 128):
                 rows = []
                 for doc, tag, text in zip(ids, tags, texts, strict=True):
-                    parts = [s for s in sentences(text or "")]
-                    joined = [b" ".join(w) for _, _, w in parts]
-                    for a, b in spans([len(w) for _, _, w in parts]):
+                    parts = sentences(_utf8(text).lower())
+                    joined = [words for _, _, _, words in parts]
+                    for a, b in spans([n for _, _, n, _ in parts]):
                         rows.append((xxh3_128_digest(b" ".join(joined[a:b])), doc, tag, a, b - a))
                 if rows:
                     key, doc, tag, a, n = zip(*rows, strict=True)
@@ -122,8 +130,8 @@ def repeated_sentences(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeated(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``(doc_id, text, n_sentences, n_removed)``, one row for each row of ``docs``; removed sentences go with the
-    white space after them, all else stays as it is.
+    """``(doc_id, text, n_removed)``, one row for each row of ``docs``; removed sentences go with the white space
+    after them, all else stays as it is.
 
     The first place of a span is that with the smallest doc_id, then the first in its text; a null doc_id comes
     last. Repeats inside a document count. Rows that repeat a doc_id at the same place are first together. A
@@ -140,18 +148,21 @@ def remove_repeated(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) ->
     def run(batches):
         for batch in batches:
             for ids, texts, ats in text_slices(batch, ["doc_id", "text", "at"], 128):
-                rows = []
-                for doc, text, at in zip(ids, texts, ats, strict=True):
-                    parts, drop = sentences(text or ""), set(at or ())
-                    kept = "".join(text[a:b] for k, (a, b, _) in enumerate(parts) if k not in drop)
-                    rows.append((doc, kept, len(parts), len(drop)))
-                doc, kept, n, gone = zip(*rows, strict=True)
+                kept = []
+                for text, at in zip(texts, ats, strict=True):
+                    if not at:
+                        kept.append(text or "")
+                        continue
+                    raw, drop = _utf8(text), set(at)
+                    parts = sentences(raw.lower())
+                    left = b"".join(raw[a:b] for k, (a, b, _, _) in enumerate(parts) if k not in drop)
+                    kept.append(left.decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())],
-                    ["doc_id", "text", "n_sentences", "n_removed"],
+                    [pa.array(ids, pa.int64()), pa.array(kept, pa.string()), pa.array([len(at or ()) for at in ats], pa.int64())],
+                    ["doc_id", "text", "n_removed"],
                 )
 
-    return joined.mapInArrow(run, "doc_id long, text string, n_sentences long, n_removed long")
+    return joined.mapInArrow(run, "doc_id long, text string, n_removed long")
 
 
 def query(docs: DataFrame) -> DataFrame:
