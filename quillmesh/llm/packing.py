@@ -8,6 +8,8 @@ table of (length, rank range) -> sequences, and placing a piece only needs its r
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections import defaultdict
 from itertools import chain
@@ -22,8 +24,9 @@ from quillmesh.llm.common import materialise, text_slices
 CAPACITY = 2048
 SEPARATOR = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words whose ids a worker remembers, and the longest word remembered, in bytes.
-MEMO_WORDS, MEMO_BYTES = 400_000, 48
+#: Distinct words whose ids a worker remembers (and as many older ones), and the longest such word, in bytes.
+MEMO_WORDS, MEMO_BYTES = 200_000, 48
+_SIGN = re.compile(rb"(?<=[a-z])(?=[!-/:-@\[-`{-~])")
 #: Pieces of one length and bucket that a task orders, on average.
 BUCKET_ROWS = 20_000
 
@@ -34,26 +37,56 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 characters stand for
+    themselves, the other bytes for the characters from 256 on, in order."""
+    out, other = [], 256
+    for b in range(256):
+        if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE:
+            out.append(chr(b))
+        else:
+            out.append(chr(other))
+            other += 1
+    return out
+
+
 class WordEncoder(dict):
-    """Token ids of whole texts by a tokenizer whose pieces never cross ASCII white space: each word is
-    encoded once by the tokenizer and remembered."""
+    """Token ids of whole texts by a tokenizer whose pieces never cross ASCII white space, nor the place between
+    a letter and a sign. Each word is encoded once by the tokenizer and remembered; a word of letters needs its
+    model only, as normalising and splitting leave it whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters, self.older = self.tokenizer.model, _byte_letters(), {}
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        ids = tuple(self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids)
+        ids = self.older.get(word)
+        if ids is None:
+            text = word.decode("utf-8", "surrogatepass")
+            low = text.lower()
+            # A sigma's lower case depends on its place, which the tokenizer doesn't look at.
+            if low.isalpha() and unicodedata.is_normalized("NFC", text) and "\u03a3" not in text:
+                ids = tuple(t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, low.encode()))))
+            else:
+                ids = tuple(self.whole(text))
         if len(word) <= MEMO_BYTES:
             if len(self) >= MEMO_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").split()
+        data = text.encode("utf-8", "surrogatepass")
+        if b"<|" in data:  # special tokens are found before anything is lower-cased
+            return np.array(self.whole(text), "<u4")
+        words = _SIGN.sub(b" ", data.lower()).split()
         return np.fromiter(chain.from_iterable(map(self.__getitem__, words)), dtype="<u4")
 
 
