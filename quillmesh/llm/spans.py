@@ -1,7 +1,12 @@
 """Repeated passages: sliding spans of consecutive sentences, joined globally by hash.
 
-A span is SENTENCES consecutive sentences, or more of them until it has WORDS words; spans are taken forward
-from each sentence and backward to each, so both ends of a passage are reached. Sentences that any span covers
+Sentences of WINDOW words and more are cut into pieces by winnowing: after the word of the least hash in each
+window of words. Where a piece ends depends on at most WINDOW - 1 words on either side and never on how long the
+sentence is, so a passage of n words that two texts share, wherever it starts and ends in their sentences, has at
+least n - 4 * WINDOW + 3 words in equal pieces: WORDS and more from 49 words on.
+
+A span is SENTENCES consecutive pieces, or more of them until it has WORDS words; spans are taken forward
+from each piece and backward to each, so both ends of a passage are reached. Pieces that any span covers
 which is not that span's first place in the corpus are removed.
 """
 
@@ -9,6 +14,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,38 +23,63 @@ from quillmesh.llm.common import materialise, text_slices
 
 SENTENCES = 2
 WORDS = 20
-#: Sentences with more words than this are cut further, after words that their own hash picks (one in CUT).
-LONG, CUT = 30, 8
+#: Words of a window, each of which has the end of a piece after one of its words.
+WINDOW = 8
+#: Deeper than this in a run of one repeated word, where every word ends a piece, only one in WINDOW does.
+RUN = 64
 #: Bytes of removal lists up to which they go to every task; beyond it they are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 _END = re.compile(rb"(?<![.!?])[.!?]+[\"')\]]*[\x20\x09-\x0D]+|\n+")
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def sentences(low: bytes) -> list[tuple[int, int, int, bytes]]:
-    """``(start, end, number of words, words joined by spaces)`` of the consecutive sentences that make up a whole
-    text, which is given as its lower-cased (A-Z) UTF-8."""
+def _cuts(words: list[bytes], sentence: np.ndarray) -> np.ndarray:
+    """Numbers of the words after which pieces end inside their sentences, from each word's sentence number."""
     from xxhash import xxh32_intdigest
 
-    out, start = [], 0
+    n = len(words)
+    if n < WINDOW:
+        return np.empty(0, np.int64)
+    hashes = np.fromiter(map(xxh32_intdigest, words), np.uint64, n)
+    at = np.arange(n, dtype=np.uint64)
+    least = (hashes << np.uint64(32)) | (np.uint64(2**32 - 1) - at)  # of equal hashes the last
+    least = np.lib.stride_tricks.sliding_window_view(least, WINDOW).min(axis=1)
+    least = least[sentence[: n - WINDOW + 1] == sentence[WINDOW - 1 :]]
+    end = np.zeros(n, bool)
+    end[(2**32 - 1) - (least & np.uint64(2**32 - 1)).astype(np.int64)] = True
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    length = np.diff(first, append=n)
+    for a, k in zip(first[length > 2 * RUN].tolist(), length[length > 2 * RUN].tolist(), strict=True):
+        # One of WINDOW words; what is left over stays cut after each word.
+        deep = (k - 2 * RUN) // WINDOW * WINDOW
+        end[a + RUN : a + RUN + deep] &= np.arange(1, deep + 1) % WINDOW == 0
+    return np.flatnonzero(end)
+
+
+def _pieces(low: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ends of the consecutive pieces of a whole text in bytes, words before each end, and the text's words."""
     ends = [m.end() for m in _END.finditer(low)]
-    if not ends or ends[-1] < len(low):
+    if low and (not ends or ends[-1] < len(low)):
         ends.append(len(low))
-    for end in ends:
-        if end == start:
-            continue
-        words = low[start:end].split()
-        if len(words) <= LONG:
-            out.append((start, end, len(words), b" ".join(words)))
-        else:
-            at, held = start, []
-            for m, word in zip(_WORD.finditer(low, start, end), words, strict=True):
-                held.append(word)
-                if xxh32_intdigest(word) % CUT == 0 and m.end() < end:
-                    out.append((at, m.end(), len(held), b" ".join(held)))
-                    at, held = m.end(), []
-            out.append((at, end, len(held), b" ".join(held)))
-        start = end
+    ends = np.array(ends, np.int64)
+    space = _SPACE[np.frombuffer(low, np.uint8)]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(space) else ends
+    words = low.split()
+    cuts = _cuts(words, np.searchsorted(ends, starts, "right"))
+    if len(cuts):
+        ends = np.union1d(ends, starts[cuts[cuts < len(words) - 1] + 1])
+    return ends, np.searchsorted(starts, ends, "left"), words
+
+
+def sentences(low: bytes) -> list[tuple[int, int, int, bytes]]:
+    """``(start, end, number of words, words joined by spaces)`` of the consecutive sentences, or pieces of longer
+    ones, that make up a whole text, which is given as its lower-cased (A-Z) UTF-8."""
+    ends, upto, words = _pieces(low)
+    out, start, first = [], 0, 0
+    for end, last in zip(ends.tolist(), upto.tolist(), strict=True):
+        out.append((start, end, last - first, b" ".join(words[first:last])))
+        start, first = end, last
     return out
 
 
@@ -56,26 +87,17 @@ def _utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def spans(counts: list[int]) -> set[tuple[int, int]]:
-    """``(first, last + 1)`` of the spans over sentences with so many words each (blank ones have none)."""
-    out, last, total = set(), 0, 0
-    n = len(counts)
-    for first in range(n):  # forward: the shortest from each sentence
-        while last < n and (last - first < SENTENCES or total < WORDS):
-            total += counts[last]
-            last += 1
-        if last - first >= SENTENCES and total >= WORDS:
-            out.add((first, last))
-        total -= counts[first]
-    first, total = n, 0
-    for last in range(n, 0, -1):  # backward: the shortest that ends with each sentence
-        while first > 0 and (last - first < SENTENCES or total < WORDS):
-            first -= 1
-            total += counts[first]
-        if last - first >= SENTENCES and total >= WORDS:
-            out.add((first, last))
-        total -= counts[last - 1]
-    return out
+def spans(upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 of the spans over pieces, from the number of words before each end (blank ones add none)."""
+    words = np.concatenate([[0], upto])
+    n = len(upto)
+    first = np.arange(n)  # forward: the shortest from each piece
+    last = np.maximum(first + SENTENCES, np.searchsorted(words, words[:-1] + WORDS, "left"))
+    until = np.arange(1, n + 1)  # backward: the shortest that ends with each piece
+    since = np.minimum(until - SENTENCES, np.searchsorted(words, words[1:] - WORDS, "right") - 1)
+    forward, backward = last <= n, since >= 0
+    both = np.concatenate([first[forward] * (n + 1) + last[forward], since[backward] * (n + 1) + until[backward]])
+    return np.divmod(np.unique(both), n + 1)
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -92,10 +114,13 @@ def span_hashes(docs: DataFrame) -> DataFrame:
             for ids, tags, texts in text_slices(batch, ["doc_id", "tag", "text"], 128):
                 rows = []
                 for doc, tag, text in zip(ids, tags, texts, strict=True):
-                    parts = sentences(_utf8(text).lower())
-                    joined = [words for _, _, _, words in parts]
-                    for a, b in spans([n for _, _, n, _ in parts]):
-                        rows.append((xxh3_128_digest(b" ".join(joined[a:b])), doc, tag, a, b - a))
+                    _, upto, words = _pieces(_utf8(text).lower())
+                    first, last = spans(upto)
+                    flat = b" ".join(words)
+                    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+                    before = at[np.concatenate([[0], upto])]
+                    for a, b, x, y in zip(first.tolist(), last.tolist(), before[first].tolist(), (before[last] - 1).tolist(), strict=True):
+                        rows.append((xxh3_128_digest(flat[x:y]), doc, tag, a, b - a))
                 if rows:
                     key, doc, tag, a, n = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -154,8 +179,8 @@ def remove_repeated(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) ->
                         kept.append(text or "")
                         continue
                     raw, drop = _utf8(text), set(at)
-                    parts = sentences(raw.lower())
-                    left = b"".join(raw[a:b] for k, (a, b, _, _) in enumerate(parts) if k not in drop)
+                    ends = _pieces(raw.lower())[0].tolist()
+                    left = b"".join(raw[a:b] for k, (a, b) in enumerate(zip([0, *ends], ends)) if k not in drop)
                     kept.append(left.decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(kept, pa.string()), pa.array([len(at or ()) for at in ats], pa.int64())],

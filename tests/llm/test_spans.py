@@ -55,3 +55,40 @@ def test_query_against_brute_force(spark, bound):
     assert sum(r[2] for r in want) > 50
     if bound:
         assert spans.query(df.limit(0)).count() == 0
+
+
+def test_any_passage_of_51_words_has_a_common_span():
+    draw = random.Random(7)
+    pool = [f"w{i}" for i in range(400)]
+
+    def keys(text):
+        ends, upto, words = spans._pieces(text.encode())
+        at = [0, *upto.tolist()]
+        return {tuple(words[at[a] : at[b]]) for a, b in zip(*map(list, spans.spans(upto)), strict=True)}
+
+    for k in range(600):
+        words = draw.choices(pool[: draw.choice([1, 2, 3, 10, 400])], k=draw.randrange(51, 61))
+        passage = " ".join(w + draw.choice(["", "", "", "", "", "."][: draw.choice([5, 6])]) for w in words)
+        around = lambda: " ".join(draw.choices(pool, k=draw.randrange(30)))
+        a, b = (f"{around()} {passage} {around()}." for _ in range(2))
+        assert keys(a) & keys(b), passage
+
+
+def test_passage_inside_differing_sentences(spark):
+    draw = random.Random(8)
+    other = lambda k: " ".join(f"x{draw.randrange(10**6)}" for _ in range(k))
+    data, planted = [], {}
+    for i in range(0, 60, 2):
+        words = [f"p{draw.randrange(10**6)}" for _ in range(51 + i % 10)]
+        ends = {draw.randrange(4, 12), draw.randrange(20, 30), draw.randrange(40, 48)}
+        passage = " ".join(w + "." * (k in ends) for k, w in enumerate(words))
+        planted[i + 1] = words
+        data += [(i, f"{other(20)} {passage} {other(3)}."), (i + 1, f"{other(5)} {passage} {other(25)}.")]
+    got = {r.doc_id: r.text for r in spans.remove_repeated(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for d, t in data:
+        if d in planted:
+            gone = [w for w in planted[d] if w not in got[d].replace(".", "").split()]
+            assert len(gone) >= 20, (d, got[d])
+            assert all(w in got[d].split() for w in t.split() if w.startswith("x") and not w.endswith("."))
+        else:
+            assert got[d] == t
