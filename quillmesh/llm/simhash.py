@@ -17,10 +17,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import discard, materialise, text_slices
+from quillmesh.llm.common import discard, materialise, text_slices, with_row_id
 from quillmesh.llm.components import connected_components
 
 SEED = 42
@@ -60,16 +60,19 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, fp)`` for each row of ``docs``; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, row_ids: bool = False) -> DataFrame:
+    """``(doc_id, fp)`` for each row of ``docs``; fp is the fingerprint as a signed long. With row_ids,
+    ``docs`` has a ``row_id``, which is passed on."""
+    ids = [F.col("doc_id").cast("long").alias("doc_id"), *([F.col("row_id")] if row_ids else [])]
+    names = ["doc_id", "row_id"][: len(ids)]
 
     def run(batches):
         for batch in batches:
-            for ids, texts in text_slices(batch, ["doc_id", "text"]):
+            for *kept, texts in text_slices(batch, [*names, "text"]):
                 fps = np.array([fingerprint(t, shingle_words) for t in texts], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in kept), pa.array(fps)], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*ids, "text").mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 class VantageTree:
@@ -299,27 +302,40 @@ def simhash_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius:
     candidate for the smallest. Columns other than doc_id and text are ignored; an empty table gives none.
     """
     prints = materialise(fingerprints(docs, shingle_words), "simhash-prints")
+    return _grouped(prints, radius).select("doc_id", "fp", "component_id")
+
+
+def _grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """``prints(doc_id, fp, ...)``, a materialised table, with the component's ``label`` and ``component_id``."""
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-distinct")
     linked = connected_components(fingerprint_links(distinct, radius), "simhash-cc")
     labelled = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "label", F.coalesce("label", "fp")
     )
     smallest = labelled.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    component = materialise(labelled.join(smallest, "label").select("fp", "component_id"), "simhash-component")
+    component = materialise(labelled.join(smallest, "label").select("fp", "label", "component_id"), "simhash-component")
     discard(distinct)
-    return prints.join(component, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(component, "fp")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` with one document of each near-duplicate group: that with the smallest doc_id.
-
-    Rows that repeat the kept doc_id are ordered by text and only the first stays; a row without doc_id stays
-    only if its whole group has none, one per group."""
-    groups = simhash_groups(docs.select("doc_id", "text"), radius=radius)
-    kept = groups.filter("component_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    left = docs.join(kept.withColumnRenamed("doc_id", "_qm_kept_id"), F.col("doc_id").eqNullSafe(F.col("_qm_kept_id")))
-    once = Window.partitionBy("_qm_kept_id").orderBy(F.col("text").asc_nulls_last())
-    return left.withColumn("_qm_rank", F.row_number().over(once)).filter("_qm_rank = 1").drop("_qm_rank", "_qm_kept_id")
+    """The rows of ``docs`` with one row of each near-duplicate group: that with the smallest doc_id.
+
+    Rows of a group that repeat its smallest doc_id are ordered by text and only the first stays; a row without
+    doc_id stays only if its whole group has none, one per group. Rows of different groups never replace each
+    other, also if they share a doc_id or have none."""
+    rows = materialise(with_row_id(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))), "simhash-rows")
+    prints = fingerprints(rows.select("doc.doc_id", "row_id", "doc.text"), row_ids=True)
+    groups = _grouped(materialise(prints, "simhash-prints"), radius)
+    # Of each group the rows with its smallest doc_id; their texts are read only where more than one is left.
+    first = materialise(groups.filter("doc_id <=> component_id").select("row_id", "label"), "simhash-first")
+    tied = first.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id"))
+    among = first.join(tied.filter("n > 1").select("label"), "label")
+    texts = rows.select("row_id", F.col("doc.text").alias("text")).join(among, "row_id")
+    # A minimum and not a window: a group of very many rows is a sum of partial minima.
+    least = texts.groupBy("label").agg(F.min_by("row_id", F.struct(F.col("text").isNull(), "text", "row_id")).alias("row_id"))
+    kept = tied.filter("n = 1").select("row_id").union(least.select("row_id"))
+    return rows.join(kept, "row_id", "left_semi").select("doc.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

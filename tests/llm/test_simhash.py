@@ -126,3 +126,19 @@ def test_dense_groups_take_the_star_path(spark):
             break
         want = new
     assert [label.get(f, f) for f in fps] == [fps[w] for w in want]
+
+
+def test_keep_first_keeps_one_row_of_each_group(spark):
+    draw = random.Random(11)
+    text = lambda: " ".join(draw.choices("abcdefghijklmnop", k=60))
+    three, alone, left, right, *none, shared = (text() for _ in range(10))
+    data = [(3, three), (5, three), (5, alone), (6, left), (6, right), (7, shared), (None, shared), (8, "B " + left), (8, None)]
+    data += [(None, t) for t in none] * 2
+    df = spark.createDataFrame([(d, t, "l", "f", 1) for d, t in data], SCHEMA).repartition(3)
+    fps = [slow_fingerprint(t) for t in (three, alone, left, right, *none, shared)]
+    assert all((a ^ b).bit_count() > 4 for i, a in enumerate(fps) for b in fps[:i])
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_first(df).collect()), key=str)
+    want = [(3, three), (5, alone), (6, left), (6, right), (7, shared), (8, None), *((None, t) for t in none)]
+    if (slow_fingerprint("B " + left) ^ slow_fingerprint(left)).bit_count() > 4:
+        want.append((8, "B " + left))
+    assert got == sorted(want, key=str)
