@@ -1,10 +1,11 @@
 """Personal data: exact base patterns, extended by bootstrapped contextual extraction.
 
-The entities that the base patterns find are the seeds. The words before an entity (its lexical pattern) and the
-entity's shape link patterns to instances. Spark scores this graph iteratively: a pattern's confidence is the
+The entities that the base patterns find are the seeds. The words before an entity are its lexical
+pattern, which links it to other instances. Spark scores this graph iteratively: a pattern's confidence is the
 mean score of all its instances, seeds and others, shrunk by a prior so that few sightings prove nothing; an
 instance is as good as the best patterns that point at it. Patterns that end above the threshold discover
-identifiers that the base patterns do not know; a discovery must also have the shape of an identifier.
+identifiers that the base patterns do not know; a discovery must also be of the pattern's kind (number of digits,
+an at sign), in whatever form it is written.
 """
 
 from __future__ import annotations
@@ -38,6 +39,17 @@ _ANCHOR = re.compile(r"[0-9@]")
 _ENDS = frozenset(" \t\n\x0b\x0c\r\xa0\"'<>(){}[],;|")
 _REST = re.compile(r"[^\s\"'<>(){}\[\],;|]*")
 LONGEST = 256
+#: Groups of digits with single spaces, brackets and marks between them, and the most digits of such a run.
+_GROUPS = re.compile(r"[0-9]++(?:[).\-/]?\x20?\(?[0-9]++)*(?![\w@])")
+_GROUP_END = re.compile(r"(?<=[0-9])[^0-9]+[0-9]+$")
+MOST_DIGITS = 19
+#: What an instance of each kind is made of, and its least and most digits.
+_KIND_TESTS = (
+    (re.compile(r"[^@]+@[^@]*[^\W_][^@]*"), 0, LONGEST),
+    (re.compile(r"[0-9]+(?:\.[0-9]+){3}|(?=.*[0-9])[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,7}"), 1, 32),
+    (re.compile(r"[\x20()./0-9-]+"), 12, MOST_DIGITS),
+    (re.compile(r"[\x20()./0-9+-]+"), 7, 15),
+)
 #: Digits that a run without an at sign has at least.
 LEAST_DIGITS = 5
 _WORD = re.compile(r"[^\W\d_]+|[:=#]")
@@ -83,9 +95,29 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def shape(instance: str) -> str:
-    """Runs of letters as a, of digits as 0, other characters as they are."""
-    return re.sub(r"0+", "0", re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "0", instance)))
+def fits(instance: str) -> int:
+    """Bit k is set if an instance may be an identifier of KINDS[k], whatever its form."""
+    digits = sum(c in "0123456789" for c in instance)
+    return sum(1 << k for k, (form, least, most) in enumerate(_KIND_TESTS) if least <= digits <= most and form.fullmatch(instance))
+
+
+def _grouped(text: str, a: int, b: int, end: int) -> tuple[int, int]:
+    """The run ``a:b`` if it is not of digits and marks, else with the groups of digits after it, up to ``end``,
+    and a bracket and a plus sign before it."""
+    first = a
+    while first < b and text[first] in "+(":
+        first += 1
+    if not (m := _GROUPS.match(text, first, end)) or m.end() < b:
+        return a, b
+    b, run = m.end(), m[0]
+    while sum(c in "0123456789" for c in run) > MOST_DIGITS and (cut := _GROUP_END.search(run)):
+        run = run[: cut.start()]
+        b = first + len(run)
+    if a and text[a - 1] == "(" and ")" in run:
+        a -= 1
+        if a and text[a - 1] == "+":
+            a -= 1
+    return a, b
 
 
 def pattern_before(text: str, start: int) -> str:
@@ -99,6 +131,7 @@ def candidates(text: str | None, base: list[tuple[int, int, int]]):
         return []
     out = [(a, b, text[a:b].lower(), pattern_before(text, a), KINDS[k]) for a, k, b in base]
     taken = sorted((a, b) for a, _, b in base)
+    starts = [a for a, _ in taken]
     last = 0
     for m in _ANCHOR.finditer(text):
         a = m.start()
@@ -109,6 +142,9 @@ def candidates(text: str | None, base: list[tuple[int, int, int]]):
         last = b = _REST.match(text, m.start()).end()
         while b > a and text[b - 1] in ".:!?":
             b -= 1
+        k = bisect.bisect_left(starts, b)
+        a, b = _grouped(text, a, b, starts[k] if k < len(starts) else len(text))
+        last = max(last, b)
         token = text[a:b]
         if len(token) > LONGEST or sum(c in "0123456789" for c in token) < LEAST_DIGITS and "@" not in token[1:-1]:
             continue
@@ -121,7 +157,7 @@ def candidates(text: str | None, base: list[tuple[int, int, int]]):
 def extract(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: base spans and sightings of possible identifiers."""
     sighting = pa.struct(
-        [("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("pattern", pa.string()), ("shape", pa.string()), ("seed", pa.string())]
+        [("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("pattern", pa.string()), ("fits", pa.int32()), ("seed", pa.string())]
     )
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
     schema = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(span)), ("seen", pa.list_(sighting))])
@@ -136,7 +172,7 @@ def extract(docs: DataFrame) -> DataFrame:
                         "doc_id": doc,
                         "base": [{"start": a, "kind": k, "end": b} for a, k, b in base],
                         "seen": [
-                            {"start": a, "end": b, "instance": i, "pattern": p, "shape": shape(i), "seed": s}
+                            {"start": a, "end": b, "instance": i, "pattern": p, "fits": fits(i), "seed": s}
                             for a, b, i, p, s in candidates(text, base)
                         ],
                     })
@@ -145,7 +181,7 @@ def extract(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run,
         "doc_id long, base array<struct<start: int, kind: int, end: int>>, seen array<struct<start: int, end: int, "
-        "instance: string, pattern: string, shape: string, seed: string>>",
+        "instance: string, pattern: string, fits: int, seed: string>>",
     )
 
 
@@ -190,20 +226,17 @@ def find_identifiers(docs: DataFrame, rounds: int = ROUNDS, threshold: float = T
     """``(doc_id, base, found)`` for each row of ``docs``; both are arrays of ``(start, kind, end)`` in code points.
 
     ``found`` holds what the patterns discover beyond the base: a run outside all base spans that stands in a
-    confident pattern and has a shape that seeds of the pattern's kind have. A null text has none. Rows that repeat a doc_id are kept apart by a row id.
+    confident pattern and may be of the pattern's kind (see ``fits``). A null text has none. Rows that repeat a
+    doc_id are kept apart by a row id.
     """
     rows = materialise(extract(docs).withColumn("row_id", F.monotonically_increasing_id()), "pii-rows")
     seen = rows.select("row_id", F.explode("seen").alias("s")).select("row_id", "s.*")
     good = materialise(confident_patterns(seen, rounds, threshold), "pii-patterns")
     kind = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    shapes = (
-        seen.filter("seed IS NOT NULL").groupBy("seed", "shape").agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= MIN_SEEDS).select(F.col("seed").alias("kind"), "shape")
-    )
     found = (
         seen.filter("seed IS NULL")
         .join(good, "pattern")
-        .join(shapes, ["kind", "shape"], "left_semi")
+        .filter(F.get(F.array(*[F.col("fits").bitwiseAND(1 << k) > 0 for k in range(len(KINDS))]), kind))
         .groupBy("row_id", "start", "end")
         .agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
         .groupBy("row_id")

@@ -67,3 +67,36 @@ def test_query(spark):
     at = data[-1][1].index(bad)
     assert got[100][0].spans == f"card:{at}:{at + 16}"
     assert pii.query(df.limit(0)).count() == 0
+
+
+def test_patterns_discover_new_forms_of_each_kind(spark):
+    draw = random.Random(4)
+
+    def card():
+        d = [draw.randrange(10) for _ in range(15)]
+        return next(x for c in range(10) if pii.luhn(x := "".join(map(str, [*d, c]))))
+
+    data = []
+    for i in range(30):
+        data += [
+            (4 * i, f"Please call me at +1 ({draw.randrange(200, 999)}) 555-{draw.randrange(1000, 9999)} today."),
+            (4 * i + 1, f"You can pay with card {card()} today."),
+            (4 * i + 2, f"Do write us via mail u{i}@example.org today."),
+            (4 * i + 3, f"It came from host 10.0.{i}.7 today."),
+        ]
+    bad = "4111 1111 1111 1112"
+    new = {
+        1001: ("phone", "Please call me at ", "614-555-8001"),
+        1002: ("phone", "Please call me at ", "(614) 555-8001"),
+        1003: ("card", "You can pay with card ", bad),
+        1004: ("email", "Do write us via mail ", "jürgen@örtlich.de"),
+        1005: ("ip", "It came from host ", "2001:db8:0:12::1"),
+        1006: ("phone", "Please call me at ", "0049 614 5558001"),
+    }
+    data += [(d, f"{before}{x} today.") for d, (_, before, x) in new.items()]
+    data += [(2001, "Order no 614-555-8001 today."), (2002, "Please call me at 12345 today.")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.query(df).collect()}
+    for d, (kind, before, x) in new.items():
+        assert got[d] == f"{kind}:{len(before)}:{len(before) + len(x)}", (x, got[d])
+    assert got[2001] == got[2002] == ""
