@@ -77,7 +77,9 @@ class Scanner:
 
         self.base = [(f" {p} ".encode(), p.count(" "), label) for p, label in (base or BASE_PHRASES).items()]
         self.notices = notices
-        self.fuzzy = [regex.compile(f"(?b)(?:{regex.escape(n.text)}){{e<={n.errors}}}") for n in notices]
+        bounded = [f"(?:{regex.escape(n.text)}){{e<={n.errors}}}" for n in notices]
+        self.next = [regex.compile(f"(?e){p}") for p in bounded]
+        self.best = [regex.compile(f"(?b){p}") for p in bounded]
         self.seeds = ahocorasick.Automaton()
         found: dict[str, list[tuple[int, int]]] = {}
         for i, notice in enumerate(notices):
@@ -112,7 +114,7 @@ class Scanner:
         return n_words, places, labels, spans
 
     def near(self, flat: bytes) -> list[tuple[str, int, int, int]]:
-        """``(label, first word, words, errors)`` of the fuzzy matches of all notices, best first in a place."""
+        """``(label, first word, words, errors)`` of the fuzzy matches of all notices, the best of each place."""
         if len(flat) < 8:
             return []
         line = flat.decode("latin-1")
@@ -131,11 +133,18 @@ class Scanner:
         for i, runs in windows.items():
             notice = self.notices[i]
             for lo, hi in runs:
-                for m in self.fuzzy[i].finditer(line, lo, min(hi, len(line))):
-                    inner = f" {m[0].strip()} "
-                    if all(f" {k} " in inner for k in KEYS.get(notice.text, ())):
-                        first = line.count(" ", 0, m.start() + 1) - 1
-                        out.append((notice.label, first, len(inner.split()), sum(m.fuzzy_counts)))
+                hi = min(hi, len(line))
+                # The next match, then the best one in its place; a rejected match is passed by one character.
+                while m := self.next[i].search(line, lo, hi):
+                    lo = m.start() + 1
+                    best = self.best[i].search(line, m.start(), min(hi, m.end() + notice.errors))
+                    for x in (best, m):
+                        inner = f" {x[0].strip()} " if x else ""
+                        if inner and all(f" {k} " in inner for k in KEYS.get(notice.text, ())):
+                            first = line.count(" ", 0, x.start() + 1) - 1
+                            out.append((notice.label, first, len(inner.split()), sum(x.fuzzy_counts)))
+                            lo = max(lo, x.end())
+                            break
         return out
 
 

@@ -72,3 +72,11 @@ def test_query(spark):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert (got[4].labels, got[6].labels, got[1].labels) == ("mit", "gpl-3", "")
     assert licences.query(df).count() == len(rows) and licences.query(df.limit(0)).count() == 0
+
+
+def test_weak_match_before_a_better_one_is_kept(scanner):
+    both = scanner.scan("gnu generl publc license version 3 or gnu general public license version 2")[3]
+    assert {("gpl-3", 0, 2), ("gpl-2", 7, 0)} <= {(label, word, errors) for label, word, _, errors in both}
+    weak, exact = "relesed under the mit license", "released under the mit license"
+    got = [(word, errors) for label, word, _, errors in scanner.scan(f"{weak} {weak} {exact}")[3] if label == "mit"]
+    assert got == [(0, 1), (5, 1), (10, 0)]
