@@ -206,8 +206,8 @@ windows AS (
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM split)),
 twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows),
 covered AS (
-  SELECT doc_id, count(DISTINCT at) AS n_repeat_words
-  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS at FROM twice WHERE n > 1) GROUP BY doc_id),
+  SELECT doc_id, count(DISTINCT place) AS n_repeat_words
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM twice WHERE n > 1) GROUP BY doc_id),
 measured AS (
   SELECT s.doc_id, len(words)::BIGINT AS n_words, coalesce(length(array_to_string(words, '')), 0)::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
