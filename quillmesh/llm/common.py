@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set (local tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="quillmesh-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir
@@ -52,9 +54,12 @@ def discard(df: DataFrame | None) -> None:
     path = getattr(df, "_quillmesh_path", None)
     if path is None:
         return
-    jvm = df.sparkSession._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def text_slices(batch, columns: list[str], rows: int = 256) -> Iterator[tuple]:

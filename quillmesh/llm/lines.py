@@ -2,8 +2,9 @@
 
 Documents come in batches. A batch makes one run: its distinct line keys as 128-bit hashes with the number of
 documents that have them, bucketed and sorted by hash. It is merge-anti-joined with the runs before it to tell
-new keys from known ones, and then becomes a run itself; FANOUT runs of one level are merged into one of the
-next. Runs share their bucketing, so neither the anti-join nor a compaction shuffles the older runs again.
+new keys from known ones, and then becomes a run itself; two runs of one level are merged into one of the next.
+Runs share their bucketing, so neither the anti-join nor a merge shuffles the older runs again: a merge is a full
+outer sort-merge join, bucket by bucket, that adds the counts of equal keys.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmesh.llm.common import materialise, table_path, text_slices, with_row_id
+from quillmesh.llm.common import delete, materialise, table_path, text_slices, with_row_id
 
 MIN_DOCS = 10
 MIN_KEY = 1
 BATCHES = 3
-FANOUT = 2
+#: Distinct keys that a worker sums up before it hands them on.
+HELD_KEYS = 100_000
 #: Frequent keys up to this number (16 bytes each) go to the workers; beyond it they are joined.
 BROADCAST_KEYS = 500_000
 #: Input rows that a bucket of a run stands for, on average.
@@ -51,26 +53,35 @@ class LineRuns:
         self.spark, self.buckets, self.min_key = spark, buckets, min_key
         self.levels: list[list[str]] = [[]]
         self.batches: list[tuple[int, int]] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, run: DataFrame) -> str:
+        """``run`` has one row for each key; rows of one bucket come from one task."""
         name = f"quillmesh_line_run_{uuid.uuid4().hex}"
-        (
-            run.repartition(self.buckets, "key")
-            .write.bucketBy(self.buckets, "key")
-            .sortBy("key")
-            .option("path", table_path(self.spark, "line-run"))
-            .saveAsTable(name)
-        )
+        self.paths[name] = table_path(self.spark, "line-run")
+        writer = run.write.bucketBy(self.buckets, "key").sortBy("key")
+        writer.option("path", self.paths[name]).option("compression", "zstd").saveAsTable(name)
         return name
 
     def _merged(self, names: list[str]) -> DataFrame:
+        """Runs merged by key. The first two meet in their buckets, without a shuffle."""
         out = self.spark.table(names[0])
         for name in names[1:]:
-            out = out.unionByName(self.spark.table(name))
-        return out.groupBy("key").agg(F.sum("n").alias("n"))
+            more = self.spark.table(name).withColumnRenamed("n", "more")
+            out = out.join(more, "key", "full_outer").select(
+                "key", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n")
+            )
+        return out
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(self.spark, self.paths.pop(name))
+
+    def close(self) -> None:
+        """Drops all runs."""
+        for name in self.runs():
+            self._drop(name)
+        self.levels = [[]]
 
     def runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
@@ -79,17 +90,25 @@ class LineRuns:
         min_key = self.min_key
 
         def run(batches):
+            found: Counter = Counter()
+
+            def out():
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["key", "n"]
+                )
+
             for batch in batches:
-                found: Counter = Counter()
                 for (texts,) in text_slices(batch, ["text"]):
                     for text in texts:
                         found.update({_hash(k) for k in set(line_keys(text)[1]) if _counts(k, min_key)})
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["key", "n"]
-                )
-
-        counted = docs.select("text").mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        new = self._write(counted)
+                    if len(found) >= HELD_KEYS:
+                        yield out()
+                        found.clear()
+            yield out()
+
+        # Dealt to buckets first: the sum by key then needs no second shuffle, and a task has one bucket.
+        dealt = docs.select("text").mapInArrow(run, "key binary, n long").repartition(self.buckets, "key")
+        new = self._write(dealt.groupBy("key").agg(F.sum("n").alias("n")))
         fresh = self.spark.table(new)
         total = fresh.count()
         for name in self.runs():
@@ -97,12 +116,11 @@ class LineRuns:
         self.batches.append((total, fresh.count() if self.runs() else total))
         self.levels[0].append(new)
         level = 0
-        while len(self.levels[level]) >= FANOUT:
+        while len(self.levels[level]) == 2:
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            old = self.levels[level]
+            old, self.levels[level] = self.levels[level], []
             self.levels[level + 1].append(self._write(self._merged(old)))
-            self.levels[level] = []
             for name in old:
                 self._drop(name)
             level += 1
@@ -147,7 +165,9 @@ def drop_frequent_lines(
     that loses all its lines becomes empty too. Other columns pass through unchanged.
     """
     spark = docs.sparkSession
-    frequent = materialise(build_runs(docs, batches, min_key).frequent(min_docs), "line-frequent")
+    runs = build_runs(docs, batches, min_key)
+    frequent = materialise(runs.frequent(min_docs), "line-frequent")
+    runs.close()
     schema = T.StructType(
         [T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
         + [T.StructField("_qm_n_lines", T.LongType()), T.StructField("_qm_n_dropped", T.LongType())]

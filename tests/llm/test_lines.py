@@ -58,6 +58,24 @@ def test_runs_are_merged_and_tell_new_keys(spark):
     assert runs.frequent(3).count() == 1
 
 
+def test_real_size_against_brute_force(spark):
+    """A compacted run has each key once, with the sum of its counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    data = [(r.doc_id, r.text) for r in docs.collect()]
+    want = Counter(lines._hash(k) for _, t in data for k in set(lines.line_keys(t)[1]) if k)
+    runs = lines.build_runs(docs)
+    for name in runs.runs():
+        keys = spark.table(name)
+        assert keys.count() == keys.select("key").distinct().count() > 0
+    assert {bytes(r.key): r.n for r in runs._merged(runs.runs()).collect()} == want
+    plan = runs._merged(runs.runs())._jdf.queryExecution().toString()
+    assert "Exchange" not in plan.split("== Physical Plan ==")[1]
+    names = runs.runs()
+    runs.close()
+    assert not any(spark.catalog.tableExists(n) for n in names)
+    assert sorted(map(tuple, lines.query(docs).collect()), key=str) == slow(data)
+
+
 def test_oracle_says_the_same():
     con = duckdb.connect()
     con.execute("create table documents (doc_id bigint, text varchar)")
