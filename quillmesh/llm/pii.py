@@ -1,11 +1,14 @@
 """Personal data: exact base patterns, extended by bootstrapped contextual extraction.
 
-The entities that the base patterns find are the seeds. The words before an entity are its lexical
-pattern, which links it to other instances. Spark scores this graph iteratively: a pattern's confidence is the
-mean score of all its instances, seeds and others, shrunk by a prior so that few sightings prove nothing; an
-instance is as good as the best patterns that point at it. Patterns that end above the threshold discover
-identifiers that the base patterns do not know; a discovery must also be of the pattern's kind (number of digits,
-an at sign), in whatever form it is written.
+The entities that the base patterns find are the seeds. Each sighting of an entity or of another identifier-like
+run induces lexical patterns, from narrow to wide: the two words before it, the words on both sides, the two words
+after it, the word before it, and its shape, if it passes its kind's check (a run that stands where the base's
+greedy match went too far). Patterns and instances are a graph that Spark scores in rounds. A pattern's
+confidence in a kind is the summed score of its instances of that kind over the number of all its instances (those
+of unknown kind that may be of this one count half), shrunk by a prior so that few sightings prove nothing. An instance that confident patterns point at with enough belief
+is promoted: it counts as a seed in the next round, so patterns that no seed has stood in can become confident
+too. Rounds end when nothing more is promoted. The confident patterns then discover identifiers; a discovery must
+be of the pattern's kind (number of digits, an at sign), in whatever form it is written.
 """
 
 from __future__ import annotations
@@ -20,12 +23,15 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import discard, materialise, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
-#: A pattern is used from this confidence and this many distinct seeds on.
-THRESHOLD = 0.5
+#: A pattern is confident in a kind from this confidence and this many distinct seeds or promoted instances on.
+THRESHOLD = 0.7
 MIN_SEEDS = 3
+#: Belief from which an instance is promoted to a seed.
+PROMOTE = 0.75
 #: Sightings of a made-up pattern of score zero that each pattern is mixed with.
 PRIOR = 2.0
+#: Weight against a pattern of an instance that may be of its kind but is neither seed nor promoted.
+OPEN = 0.5
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,7 +52,7 @@ MOST_DIGITS = 19
 #: What an instance of each kind is made of, and its least and most digits.
 _KIND_TESTS = (
     (re.compile(r"[^@]+@[^@]*[^\W_][^@]*"), 0, LONGEST),
-    (re.compile(r"[0-9]+(?:\.[0-9]+){3}|(?=.*[0-9])[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,7}"), 1, 32),
+    (re.compile(r"(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?!$)|$)){4}|(?=.*[0-9])[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,7}"), 1, 32),
     (re.compile(r"[\x20()./0-9-]+"), 12, MOST_DIGITS),
     (re.compile(r"[\x20()./0-9+-]+"), 7, 15),
 )
@@ -120,16 +126,37 @@ def _grouped(text: str, a: int, b: int, end: int) -> tuple[int, int]:
     return a, b
 
 
-def pattern_before(text: str, start: int) -> str:
-    """The two words or marks before a place, lower-cased; marks : = # count as words."""
-    return " ".join(w.lower() for w in _WORD.findall(text[max(0, start - 48) : start])[-2:])
+def valid_kinds(instance: str) -> list[str]:
+    """The kinds whose base check a whole run passes."""
+    return sorted({KINDS[k] for a, k, b in base_spans(instance) if (a, b) == (0, len(instance))})
+
+
+def shape(instance: str) -> str:
+    """Letters of a run as one a, digits as zeros (one for a run of them beside letters or an at sign)."""
+    out = re.sub(r"[^\W\d_]+", "a", instance)
+    return re.sub(r"[0-9]+", "0", out) if "a" in out or out.count(".") == 3 else re.sub(r"[0-9]", "0", out)
+
+
+def patterns(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns of a place; _ stands for the run. Marks : = # count as words."""
+    before = [w.lower() for w in _WORD.findall(text[max(0, start - 48) : start])[-2:]]
+    after = [w.lower() for w in _WORD.findall(text[end : end + 48])[:2]]
+    out = [f"{before[0]} {before[1]} _"] if len(before) == 2 else []
+    if before and after:
+        out.append(f"{before[-1]} _ {after[0]}")
+    if len(after) == 2:
+        out.append(f"_ {after[0]} {after[1]}")
+    if before:
+        out.append(f"{before[-1]} _")
+    instance = text[start:end].lower()
+    return out + [f"{kind} {shape(instance)}" for kind in valid_kinds(instance)]
 
 
 def candidates(text: str | None, base: list[tuple[int, int, int]]):
-    """``(start, end, instance, pattern, seed kind or null)`` of all base entities and other identifier-like runs."""
+    """``(start, end, seed kind or null)`` of all base entities and other identifier-like runs."""
     if not text:
         return []
-    out = [(a, b, text[a:b].lower(), pattern_before(text, a), KINDS[k]) for a, k, b in base]
+    out = [(a, b, KINDS[k]) for a, k, b in base]
     taken = sorted((a, b) for a, _, b in base)
     starts = [a for a, _ in taken]
     last = 0
@@ -150,14 +177,14 @@ def candidates(text: str | None, base: list[tuple[int, int, int]]):
             continue
         k = bisect.bisect_left(taken, (b,))
         if not any(a < y for _, y in taken[max(0, k - len(KINDS)) : k]):
-            out.append((a, b, token.lower(), pattern_before(text, a), None))
+            out.append((a, b, None))
     return out
 
 
 def extract(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: base spans and sightings of possible identifiers."""
     sighting = pa.struct(
-        [("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("pattern", pa.string()), ("fits", pa.int32()), ("seed", pa.string())]
+        [("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string())), ("fits", pa.int32()), ("seed", pa.string())]
     )
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
     schema = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(span)), ("seen", pa.list_(sighting))])
@@ -172,8 +199,9 @@ def extract(docs: DataFrame) -> DataFrame:
                         "doc_id": doc,
                         "base": [{"start": a, "kind": k, "end": b} for a, k, b in base],
                         "seen": [
-                            {"start": a, "end": b, "instance": i, "pattern": p, "fits": fits(i), "seed": s}
-                            for a, b, i, p, s in candidates(text, base)
+                            {"start": a, "end": b, "instance": i, "patterns": patterns(text, a, b), "fits": fits(i), "seed": s}
+                            for a, b, s in candidates(text, base)
+                            for i in (text[a:b].lower(),)
                         ],
                     })
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -181,66 +209,98 @@ def extract(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run,
         "doc_id long, base array<struct<start: int, kind: int, end: int>>, seen array<struct<start: int, end: int, "
-        "instance: string, pattern: string, fits: int, seed: string>>",
+        "instance: string, patterns: array<string>, fits: int, seed: string>>",
     )
 
 
-def confident_patterns(seen: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
-    """``(pattern, kind, confidence)`` of the patterns that discover, from ``(instance, pattern, seed, ...)``.
+def _kind_number() -> F.Column:
+    return F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
+
 
-    The graph's edges are distinct (pattern, instance) pairs, so a repeated document adds nothing. A pattern
-    takes the kind of most of its seeds. Instances are never gathered: both sides of a round are sums.
+def _fits_kind() -> F.Column:
+    """Whether the run of ``fits`` may be of the kind ``kind``."""
+    return F.get(F.array(*[F.col("fits").bitwiseAND(1 << k) > 0 for k in range(len(KINDS))]), _kind_number())
+
+
+def confident_patterns(seen: DataFrame, threshold: float = THRESHOLD, promote: float = PROMOTE) -> DataFrame:
+    """``(pattern, kind, confidence)`` of the patterns that discover, from ``(patterns, instance, fits, seed, ...)``.
+
+    The graph's edges are distinct (pattern, instance) pairs, so a repeated document adds nothing. Patterns
+    with fewer than MIN_SEEDS instances can never be confident and leave the graph before the first round.
+    Instances are never gathered: both sides of a round are sums.
     """
     edges = materialise(
-        seen.filter("pattern <> ''").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges"
+        seen.select(F.explode("patterns").alias("pattern"), "instance", "fits", "seed")
+        .groupBy("pattern", "instance")
+        .agg(F.max("seed").alias("seed"), F.max("fits").alias("fits")),
+        "pii-edges",
     )
-    votes = edges.filter("seed IS NOT NULL").groupBy("pattern", "seed").agg(F.count(F.lit(1)).alias("n"))
-    kinds = votes.groupBy("pattern").agg(F.max_by("seed", F.struct("n", "seed")).alias("kind"), F.sum("n").alias("seeds"))
-    is_seed = F.col("seed").isNotNull()
-    score = edges.groupBy("instance").agg(F.max(F.when(is_seed, 1.0).otherwise(0.0)).alias("score"))
-    confidence = None
-    for _ in range(rounds):
-        previous = confidence
+    is_open = lambda k: F.col("seed").isNull() & (F.col("fits").bitwiseAND(1 << k) > 0)
+    sizes = (
+        edges.groupBy("pattern")
+        .agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(is_open(k)) for k in range(len(KINDS))]).alias("open"))
+        .filter(F.col("n") >= MIN_SEEDS)
+    )
+    graph = materialise(edges.join(sizes, "pattern"), "pii-graph")
+    discard(edges)
+    seeds = graph.filter("seed IS NOT NULL").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score"), F.lit(0).alias("new")).distinct()
+    scores, confidence, promoted, n = seeds, None, None, 0
+    while True:
+        old = confidence
         confidence = materialise(
-            edges.join(score, "instance")
-            .groupBy("pattern")
-            .agg((F.sum("score") / (F.count(F.lit(1)) + F.lit(PRIOR))).alias("confidence")),
+            graph.join(scores, "instance")
+            .groupBy("pattern", "kind")
+            .agg(
+                F.sum("score").alias("score"),
+                F.count(F.lit(1)).alias("support"),
+                (F.first("n") - (1 - OPEN) * (F.first(F.get("open", _kind_number())) - F.sum("new")) + PRIOR).alias("against"),
+            )
+            .withColumn("confidence", F.col("score") / F.col("against"))
+            .filter((F.col("confidence") >= threshold) & (F.col("support") >= MIN_SEEDS))
+            .select("pattern", "kind", "confidence"),
             "pii-confidence",
         )
-        discard(previous)
+        discard(old)
+        discard(promoted)
         doubt = F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))
-        score = (
-            edges.join(confidence, "pattern")
+        promoted = materialise(
+            graph.filter("seed IS NULL")
+            .join(confidence, "pattern")
+            .filter(_fits_kind())
+            .groupBy("instance", "kind")
+            .agg((1 - F.exp(F.sum(doubt))).alias("score"))
             .groupBy("instance")
-            .agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(doubt))).alias("belief"))
-            .select("instance", F.when(is_seed, F.lit(1.0)).otherwise(F.col("belief")).alias("score"))
+            .agg(F.max_by(F.struct("kind", "score"), F.struct("score", "kind")).alias("best"))
+            .select("instance", "best.kind", "best.score", F.lit(1).alias("new"))
+            .filter(F.col("score") >= promote),
+            "pii-promoted",
         )
-    return (
-        confidence.filter(F.col("confidence") >= threshold)
-        .join(kinds.filter(F.col("seeds") >= MIN_SEEDS), "pattern")
-        .select("pattern", "kind", "confidence")
-    )
+        before, n = n, promoted.count()
+        if n <= before:
+            return confidence
+        scores = seeds.union(promoted)
 
 
-def find_identifiers(docs: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def find_identifiers(docs: DataFrame, threshold: float = THRESHOLD, promote: float = PROMOTE) -> DataFrame:
     """``(doc_id, base, found)`` for each row of ``docs``; both are arrays of ``(start, kind, end)`` in code points.
 
     ``found`` holds what the patterns discover beyond the base: a run outside all base spans that stands in a
-    confident pattern and may be of the pattern's kind (see ``fits``). A null text has none. Rows that repeat a
-    doc_id are kept apart by a row id.
+    confident pattern and may be of the pattern's kind (see ``fits``). A null or empty text has none, and an empty
+    table gives no rows. Rows that repeat a doc_id, or have none, are kept apart by a row id. Runs longer than
+    LONGEST characters are no identifiers; texts of any length are read as a whole. Other columns are ignored.
     """
     rows = materialise(extract(docs).withColumn("row_id", F.monotonically_increasing_id()), "pii-rows")
     seen = rows.select("row_id", F.explode("seen").alias("s")).select("row_id", "s.*")
-    good = materialise(confident_patterns(seen, rounds, threshold), "pii-patterns")
-    kind = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
+    good = confident_patterns(seen, threshold, promote)
     found = (
         seen.filter("seed IS NULL")
+        .select("row_id", "start", "end", "fits", F.explode("patterns").alias("pattern"))
         .join(good, "pattern")
-        .filter(F.get(F.array(*[F.col("fits").bitwiseAND(1 << k) > 0 for k in range(len(KINDS))]), kind))
+        .filter(_fits_kind())
         .groupBy("row_id", "start", "end")
         .agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
         .groupBy("row_id")
-        .agg(F.collect_list(F.struct("start", kind.alias("kind"), "end")).alias("found"))
+        .agg(F.collect_list(F.struct("start", _kind_number().alias("kind"), "end")).alias("found"))
     )
     none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
     return rows.select("row_id", "doc_id", "base").join(found, "row_id", "left").select(
@@ -263,4 +323,5 @@ def query(docs: DataFrame) -> DataFrame:
         *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.concat("base", "found")).alias("spans"),
+        F.size("found").cast("long").alias("n_found"),
     )

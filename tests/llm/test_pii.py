@@ -100,3 +100,67 @@ def test_patterns_discover_new_forms_of_each_kind(spark):
     for d, (kind, before, x) in new.items():
         assert got[d] == f"{kind}:{len(before)}:{len(before) + len(x)}", (x, got[d])
     assert got[2001] == got[2002] == ""
+
+
+def test_promoted_instances_carry_a_pattern_that_no_seed_stands_in(spark):
+    """Phones without + are found next to the seeds' words; they alone stand after 'reach us under', which then finds
+    a form that was never seen elsewhere."""
+    draw = random.Random(5)
+    odd = lambda i: f"614-555-{8000 + i}"
+    data = [(i, f"Please call me at +1 ({draw.randrange(200, 999)}) 555-{draw.randrange(1000, 9999)} today.") for i in range(60)]
+    data += [(100 + i, f"Please call me at {odd(i)} today.") for i in range(10)]
+    data += [(200 + i, f"Or reach us under {odd(i)} instead.") for i in range(10)]
+    data += [(300, "Or reach us under 0049 614 7778001 instead."), (301, "Invoice number 0049 614 7778001 follows.")]
+    got = {r.doc_id: r.spans for r in pii.query(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for i in range(10):
+        assert got[100 + i].startswith("phone:18:") and got[200 + i].startswith("phone:18:")
+    assert got[300] == "phone:18:34"
+    assert got[301] == ""
+    alone = [r for r in data if not 100 <= r[0] < 200]
+    got = {r.doc_id: r.spans for r in pii.query(spark.createDataFrame(alone, "doc_id long, text string")).collect()}
+    assert got[300] == "" == got[205]
+
+
+def test_planted_recall_and_precision(spark):
+    """Unseen forms in the seeds' contexts, and runs of the same forms elsewhere, amid texts without either."""
+    draw = random.Random(6)
+    words = lambda k: " ".join(draw.choice("der oon rea thi la que ent ing sal mor".split()) for _ in range(k))
+    number = lambda k: "".join(str(draw.randrange(10)) for _ in range(k))
+    known = {
+        "email": lambda: f"{draw.choice('abc')}{number(4)}@mail.example.org", "ip": lambda: ".".join(str(draw.randrange(256)) for _ in range(4)),
+        "phone": lambda: f"+1 ({number(3)}) 555-{number(4)}",
+    }
+    unseen = {
+        "email": lambda: f"jürgen{number(3)}@örtlich.de", "ip": lambda: f"2001:db8::{number(4)}:{number(3)}", "phone": lambda: f"({number(3)}) 555-{number(4)}",
+    }
+    context = {"email": ["write to", "mail address"], "ip": ["logged from", "host at"], "phone": ["call me on", "tel. is"]}
+    data, planted = [], {}
+    for i in range(1200):
+        kind = draw.choice(list(known))
+        before, place = words(draw.randrange(5, 20)), draw.random()
+        doc = i * 10
+        if place < 0.5:
+            text = f"{before} {draw.choice(context[kind])} {known[kind]()} {words(9)}"
+        elif place < 0.7:
+            text = f"{before} {draw.choice(context[kind])} "
+            run = unseen[kind]()
+            planted[doc] = f"{kind}:{len(text)}:{len(text) + len(run)}"
+            text += f"{run} {words(9)}"
+        else:
+            text = f"{before} {unseen['phone']() if place < 0.85 else number(16)} {words(9)}"
+        data.append((doc, text))
+    got = {r.doc_id: r.spans for r in pii.query(spark.createDataFrame(data, "doc_id long, text string")).filter("n_found > 0").collect()}
+    right = sum(got.get(d) == s for d, s in planted.items())
+    print(f"planted {len(planted)}, found {len(got)}, right {right}")
+    assert right / len(planted) >= 0.95 and right / len(got) >= 0.95
+
+
+def test_a_run_that_the_base_takes_too_far_is_found_by_its_shape(spark):
+    draw = random.Random(7)
+    number = lambda k: "".join(str(draw.randrange(10)) for _ in range(k))
+    words = lambda k: " ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(k))
+    data = [(i, f"{words(3)} +1 ({number(3)}) 555-{number(4)} {words(3)}") for i in range(40)]
+    data += [(100, "x +1 (826) 555-4081 190.137.223.20 y"), (101, "x 8265554081 y")]
+    got = {r.doc_id: r.spans for r in pii.query(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[100] == "phone:2:19,ip:20:34"
+    assert got[101] == ""
