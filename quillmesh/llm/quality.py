@@ -12,9 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import WORD_PATTERN, WS_CHARS, WS_CLASS
+from quillmesh.llm.common import WORD_PATTERN, WS_CHARS, WS_CLASS, materialise
 
 WINDOW = 3
+#: Words of a block in which distinct words are counted, so that the count doesn't depend on a text's length.
+BLOCK = 200
 #: Low bits of a packed window that hold its position; a text with more words is sorted by whole windows.
 POSITION_BITS = 24
 BARRIER = "_qm_barrier"
@@ -34,13 +36,18 @@ RULES = (
     Rule(3, "repeated_lines", "100 * n_dup_lines > 40 * n_lines"),
     Rule(4, "few_distinct_words", "100 * n_distinct_words < 30 * n_words"),
     Rule(5, "exclamation", "2 * n_exclamation > n_words"),
+    Rule(6, "few_distinct_in_blocks", "100 * n_block_distinct < 30 * n_words"),
 )
 #: Policy versions are only ever added; an entry never changes once it has been used.
 POLICIES = {
     1: ("few_words", "repeated_windows"),
     2: ("few_words", "repeated_windows", "symbols", "repeated_lines", "few_distinct_words", "exclamation"),
+    3: ("few_words", "repeated_windows", "symbols", "repeated_lines", "few_distinct_in_blocks", "exclamation"),
 }
-BASE_POLICY, POLICY = 1, 2
+BASE_POLICY, POLICY = 1, 3
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_block_distinct", "n_exclamation",
+)
 
 
 def mask(version: int) -> int:
@@ -63,7 +70,10 @@ def _repeated(sorted_items: Column, key, value) -> Column:
 
 
 def measurements(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text measurements...)`` for each row; a null text has no words and no lines.
+    """``(doc_id, MEASURES...)`` for each row; a null text has no words and no lines.
+
+    Every row is measured, also one that repeats a doc_id or has none; other columns are ignored; an empty table gives
+    no rows. A text of 2 ** POSITION_BITS words and more is measured like any other, but slower.
 
     Repeated windows are found by sorting one long for each window, the low bits of its hash above its
     position; the few windows that meet are then compared as text, so a hash collision changes nothing.
@@ -119,6 +129,10 @@ def measurements(docs: DataFrame) -> DataFrame:
         F.lit(0).cast("long"),
         lambda a, x: a + x,
     )
+    blocks = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    in_blocks = F.aggregate(
+        F.transform(blocks, lambda i: F.size(F.array_distinct(F.slice(words, i, BLOCK)))), F.lit(0), lambda a, x: a + x
+    )
     count = lambda c: c.cast("long")
     without = lambda pattern: F.length("text0") - F.length(F.regexp_replace("text0", pattern, ""))
     return at.select(
@@ -130,6 +144,7 @@ def measurements(docs: DataFrame) -> DataFrame:
         covered.alias("n_repeat_words"),
         count(F.size("lines")).alias("n_lines"),
         count(F.size(F.array_distinct("words"))).alias("n_distinct_words"),
+        count(in_blocks).alias("n_block_distinct"),
         count(without("!")).alias("n_exclamation"),
         # A filter above would be pushed below and evaluate the arrays again for each element; it can't pass this.
         F.monotonically_increasing_id().alias(BARRIER),
@@ -137,7 +152,8 @@ def measurements(docs: DataFrame) -> DataFrame:
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """Measurements and ``rule_bits`` (bit k set: the rule with bit k fails) for each row of ``docs``."""
+    """Measurements and ``rule_bits`` (bit k set: the rule with bit k fails) for each row of ``docs``; nulls, repeated
+    rows and long texts as in ``measurements``."""
     bits = F.lit(0).cast("long")
     for rule in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
@@ -178,24 +194,26 @@ def accepted(docs: DataFrame, version: int = POLICY) -> DataFrame:
     return kept.select(*[F.col("doc_id").getField(c).alias(c) for c in columns])
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger as a table of the shared folder: policies and ablations read it and never the texts."""
+    return materialise(ledger(docs).drop(BARRIER), "quality-ledger")
+
+
 def query(docs: DataFrame) -> DataFrame:
-    """Digest columns of op9, with the ledger's bits and the policy's version beside them."""
+    """Digest columns of op9, with the other measurements, the ledger's bits and the policy's version beside them.
+
+    One row for each row of ``docs``: a null text has no words and fails, an empty table gives no rows, rows that
+    repeat a doc_id are judged each, texts are measured whole."""
     base = F.col("rule_bits").bitwiseAND(F.lit(mask(BASE_POLICY))) != 0
-    return apply_policy(ledger(docs)).select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        base.alias("base_failed"),
-        "kept",
-        "rule_bits",
-        "policy",
-    )
+    return apply_policy(stored_ledger(docs)).select("doc_id", *MEASURES, base.alias("base_failed"), "kept", "rule_bits", "policy")
+
+
+def ablation_query(docs: DataFrame) -> DataFrame:
+    """What each rule of the current policy does, from the stored ledger."""
+    return ablations(stored_ledger(docs))
 
 
-ORACLE = rf"""
+_LEDGER_SQL = rf"""
 WITH split AS (
   SELECT doc_id, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}') AS words,
@@ -214,12 +232,21 @@ measured AS (
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
     len(lines)::BIGINT AS n_lines, len(list_distinct(words))::BIGINT AS n_distinct_words,
+    coalesce(list_sum(list_transform(range(0, len(words), {BLOCK}), lambda i: len(list_distinct(words[i + 1 : i + {BLOCK}])))), 0)::BIGINT AS n_block_distinct,
     (length(text) - length(replace(text, '!', '')))::BIGINT AS n_exclamation
   FROM split s LEFT JOIN covered c ON s.doc_id = c.doc_id),
 marked AS (
   SELECT *, ({" + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES)})::BIGINT AS rule_bits
   FROM measured)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (rule_bits & {mask(BASE_POLICY)}) <> 0 AS base_failed,
+"""
+ORACLE = f"""{_LEDGER_SQL}
+SELECT doc_id, {", ".join(MEASURES)}, (rule_bits & {mask(BASE_POLICY)}) <> 0 AS base_failed,
   (rule_bits & {mask(POLICY)}) = 0 AS kept, rule_bits, {POLICY}::INTEGER AS policy
 FROM marked
 """
+_OWN = ", ".join(f"('{r.name}', {1 << r.bit})" for r in RULES if r.name in POLICIES[POLICY])
+ABLATION_ORACLE = f"""{_LEDGER_SQL}
+SELECT rule, count_if((rule_bits & bit) <> 0)::BIGINT AS n_failed, count_if((rule_bits & {mask(POLICY)}) = bit)::BIGINT AS n_failed_only,
+  count_if((rule_bits & {mask(POLICY)}) IN (0, bit))::BIGINT AS n_kept_without
+FROM marked, (VALUES {_OWN}) r(rule, bit) GROUP BY rule
+"""
