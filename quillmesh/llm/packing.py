@@ -209,12 +209,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, kee
     Rows that repeat a doc_id are packed each on its own; an empty table gives an empty result. Reruns place
     pieces alike but for identical ones, which may change places with each other."""
     cut = materialise(pieces(docs, capacity, path, keep_ids), "packing-pieces")
-    n = cut.count()
-    buckets = max(8, n // BUCKET_ROWS)
-    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    by_bucket = materialise(bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "packing-counts")
-    counts = {r.length: r.n for r in by_bucket.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs = docs.sparkSession.sparkContext.broadcast(plan(counts, capacity))
+    spark = docs.sparkSession
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    runs = spark.sparkContext.broadcast(plan(counts, capacity))
+    # One row for each length, so capacity rows at most; a length has as many buckets as its pieces fill.
+    widths = F.broadcast(spark.createDataFrame([(n, max(1, -(-c // BUCKET_ROWS))) for n, c in counts.items()], "length long, buckets long"))
+    bucketed = cut.join(widths, "length").withColumn(
+        "bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets"))
+    )
+    by_bucket = bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_bucket.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")

@@ -20,7 +20,7 @@ from quillmesh.llm.common import discard, materialise
 from quillmesh.llm.components import connected_components
 
 COSINE = 0.9
-#: Members of a cell on average, and pivots at most (they are fitted on the driver).
+#: Members of a cell, and of a block of a cell, on average, and pivots at most (they are fitted on the driver).
 CELL = 2000
 MAX_PIVOTS = 4096
 #: Single precision decides outside this margin of the threshold, double precision inside.
@@ -43,6 +43,12 @@ def _linked(x: np.ndarray, x32: np.ndarray, y: np.ndarray, y32: np.ndarray, cosi
     return link
 
 
+def _dealt(cls: np.ndarray) -> np.ndarray:
+    """A number that deals members to blocks."""
+    mixed = cls.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(33)).astype(np.int64)
+
+
 class _Roots:
     """Union-find on arrays; the root of a set is its smallest member."""
 
@@ -142,15 +148,15 @@ def _range_join(classes: DataFrame, cosine: float) -> DataFrame:
                 )
 
     ranges = classes.select("v").mapInArrow(homes, "home int, d double").groupBy("home").agg(
-        F.min("d").alias("low"), F.max("d").alias("high")
+        F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("n")
     )
-    low, high = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+    low, high, blocks = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf), np.ones(len(pivots), np.int64)
     for row in ranges.collect():
-        low[row.home], high[row.home] = row.low, row.high
-    bounds = spark.sparkContext.broadcast((low, high))
+        low[row["home"]], high[row["home"]], blocks[row["home"]] = row["low"], row["high"], -(-row["n"] // CELL)
+    bounds = spark.sparkContext.broadcast((low, high, blocks))
 
     def spread(batches):
-        low, high = bounds.value
+        low, high, blocks = bounds.value
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
@@ -162,8 +168,18 @@ def _range_join(classes: DataFrame, cosine: float) -> DataFrame:
                 go = (d <= d[rows, home][:, None] + 2 * r) & (d >= low - r) & (d <= high + r) & turn
                 go[rows, home] = True
                 i, cell = np.nonzero(go)
+                at_home = cell == home[i]
+                cls = part.column("cls").to_numpy(zero_copy_only=False)
+                own = np.where(at_home, _dealt(cls)[i] % blocks[cell], 0)
+                each = blocks[cell] - own
+                k = np.repeat(np.arange(len(i)), each)
+                ahead = np.arange(len(k)) - np.repeat(np.cumsum(each) - each, each)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), pa.array(cell != home[i]), *(part.column(c).take(pa.array(i)) for c in ("cls", "copies", "v"))],
+                    [
+                        pa.array((cell[k] << 32) + own[k] + ahead),
+                        pa.array(~(at_home[k] & (ahead == 0))),
+                        *(part.column(c).take(pa.array(i[k])) for c in ("cls", "copies", "v")),
+                    ],
                     ["cell", "visitor", "cls", "copies", "v"],
                 )
 
@@ -187,9 +203,9 @@ def _range_join(classes: DataFrame, cosine: float) -> DataFrame:
         if cell is not None:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, cell.end())), schema)
 
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(pivots), 2048))
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(blocks.sum()))
     return (
-        classes.mapInArrow(spread, "cell int, visitor boolean, cls long, copies long, v binary")
+        classes.mapInArrow(spread, "cell long, visitor boolean, cls long, copies long, v binary")
         .repartition(width, "cell")
         .sortWithinPartitions("cell", "visitor")
         .mapInArrow(join, "cls long, links long, root long")
