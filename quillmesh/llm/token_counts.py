@@ -2,19 +2,23 @@
 
 The ledger holds signed rows: an insert adds +1 row for a document and tokenizer version, a delete adds the same
 row with -1, a revision both. Each batch also stores its rows summed by source, language and tokenizer
-version. Totals are the sum of the batches' sums. A batch becomes visible by one rename of its folder, named by
-its id: a replay finds the folder and does nothing, and a failed attempt leaves nothing that is read.
+version. Totals are the sum of the batches' sums. An attempt at a batch writes a folder of its own; the batch becomes
+visible by one rename of that folder to its id, which fails if the id is there: a replay does nothing, two
+attempts cannot both count, and a failed one leaves nothing that is read. A snapshot, committed in the same way, sums
+up the batches before it, so that ledger and deltas are read from it and from the batches since.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import table_path, text_slices
+from quillmesh.llm.common import materialise, table_path, text_slices
 from quillmesh.llm.packing import WordEncoder, tokenizer_path
 
 #: Tokenizer version -> a function that makes a counter in a worker.
@@ -63,21 +67,51 @@ class Rollup:
         self.spark, self.path, self.counters = spark, path or table_path(spark, "rollup"), counters
         jvm = spark._jvm
         self._at = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._at(f"{self.path}/batches"))
+        conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._at(self.path).getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at(self.path).toUri(), conf)
+        self._exclusive = spark._sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        for part in ("batches", "snapshots", "staged"):
+            self._fs.mkdirs(self._at(f"{self.path}/{part}"))
+
+    def _names(self, part: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(f"{self.path}/{part}")))
 
     def batches(self) -> list[str]:
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(f"{self.path}/batches")))
+        return self._names("batches")
+
+    def _parts(self) -> tuple[list[str], list[str]]:
+        """Folders that make up the state: the last snapshot, if any, and the batches since; and the batches summed up."""
+        batches, snapshots = self.batches(), self._names("snapshots")
+        if not snapshots:
+            return [f"batches/{b}" for b in batches], []
+        last = f"snapshots/{snapshots[-1]}"
+        inside = [r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/{last}/members").collect()]
+        return [last, *(f"batches/{b}" for b in batches if b not in set(inside))], inside
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/batches/{b}/{kind}" for b in self.batches()]
+        paths = [f"{self.path}/{p}/{kind}" for p in self._parts()[0]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def current(self) -> DataFrame:
-        """The ledger's live rows: ``(doc_id, tokenizer, source, lang, n_tokens, copies)``."""
+    def _publish(self, staged: str, name: str) -> bool:
+        """Renames an attempt's folder, or deletes it (False) if the name is taken."""
+        try:
+            self._context.rename(self._at(staged), self._at(f"{self.path}/{name}"), self._exclusive)
+            return True
+        except Py4JJavaError:
+            if not self._fs.exists(self._at(f"{self.path}/{name}")):
+                raise
+            self._fs.delete(self._at(staged), True)
+            return False
+
+    def current(self, ids: DataFrame | None = None) -> DataFrame:
+        """The ledger's live rows: ``(doc_id, tokenizer, source, lang, n_tokens, copies)``; of ``ids(gone_id)`` only,
+        if given, which are then all that is summed."""
+        rows = self._read("ledger", LEDGER)
+        if ids is not None:
+            rows = rows.join(ids, rows["doc_id"].eqNullSafe(ids["gone_id"]), "left_semi")
         return (
-            self._read("ledger", LEDGER)
-            .groupBy("doc_id", "tokenizer", "source", "lang", "n_tokens")
+            rows.groupBy("doc_id", "tokenizer", "source", "lang", "n_tokens")
             .agg(F.sum("sign").alias("copies"))
             .filter("copies <> 0")
         )
@@ -107,32 +141,58 @@ class Rollup:
         gone = [d.select(F.col("doc_id").cast("long").alias("gone_id")) for d in (deletes, None if fresh else upserts) if d is not None]
         if gone and self.batches():
             ids = (gone[0] if len(gone) == 1 else gone[0].union(gone[1])).distinct()
-            live = self.current()
-            old = live.join(ids, live["doc_id"].eqNullSafe(ids["gone_id"]), "left_semi")
+            old = self.current(ids)
             rows = rows.unionByName(
                 old.select("doc_id", "tokenizer", "source", "lang", (-F.col("copies")).cast("int").alias("sign"), "n_tokens")
             )
-        staged = f"{self.path}/staged-{batch_id}"
-        rows.write.mode("overwrite").parquet(f"{staged}/ledger")
-        ledger = self.spark.read.schema(LEDGER).parquet(f"{staged}/ledger")
-        ledger.groupBy(*KEYS).agg(
+        staged = f"{self.path}/staged/{uuid.uuid4().hex}"
+        self._store(rows, staged)
+        return self._publish(staged, f"batches/{batch_id}")
+
+    def _store(self, rows: DataFrame, staged: str) -> None:
+        rows.write.parquet(f"{staged}/ledger")
+        self.spark.read.schema(LEDGER).parquet(f"{staged}/ledger").groupBy(*KEYS).agg(
             F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens")
-        ).write.mode("overwrite").parquet(f"{staged}/delta")
-        if not self._fs.rename(self._at(staged), self._at(f"{self.path}/batches/{batch_id}")):
-            raise RuntimeError(f"batch {batch_id} could not be committed")
-        return True
+        ).write.parquet(f"{staged}/delta")
+
+    def compact(self) -> bool:
+        """Writes a snapshot of all batches so far: their live ledger rows, and those rows' sums. The ids stay known,
+        so replays still do nothing; False if another compaction was first."""
+        parts, inside = self._parts()
+        staged = f"{self.path}/staged/{uuid.uuid4().hex}"
+        live = self.current().withColumn("sign", F.col("copies").cast("int"))
+        self._store(live.select("doc_id", "tokenizer", "source", "lang", "sign", "n_tokens"), staged)
+        names = inside + [p.removeprefix("batches/") for p in parts if p.startswith("batches/")]
+        self.spark.createDataFrame([(b,) for b in names], "batch string").coalesce(1).write.parquet(f"{staged}/members")
+        return self._publish(staged, f"snapshots/{len(self._names('snapshots')):08d}")
+
+    def vacuum(self) -> None:
+        """Deletes the rows of batches that the last snapshot sums up (their ids stay), older snapshots, and attempts
+        that came to nothing. Not while others read or commit."""
+        for b in self._parts()[1]:
+            for kind in ("ledger", "delta"):
+                self._fs.delete(self._at(f"{self.path}/batches/{b}/{kind}"), True)
+        for old in [*(f"snapshots/{s}" for s in self._names("snapshots")[:-1]), *(f"staged/{s}" for s in self._names("staged"))]:
+            self._fs.delete(self._at(f"{self.path}/{old}"), True)
 
 
 def query(docs: DataFrame) -> DataFrame:
     """The whole life of a table: all documents inserted in two batches; those whose text an earlier doc_id has
-    deleted; those with repeated lines revised to their distinct lines; and the last two batches sent again."""
+    deleted; those with repeated lines revised to their distinct lines; and the last two batches sent again, the last
+    after a compaction.
+
+    A null text counts no tokens; null sources and languages are groups of their own; documents without doc_id are one
+    document, rows that repeat a doc_id in a batch count each. Texts that are equal are copies of the one with the
+    smallest doc_id (ties, and rows without id, stay). An empty table gives no groups; other columns are ignored;
+    texts are counted whole."""
     own = docs.select("doc_id", "source", "lang", "text")
     roll = Rollup(docs.sparkSession)
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     roll.commit("0001", own.filter(half == 0), fresh=True)
     roll.commit("0002", own.filter(half == 1), fresh=True)
     prints = own.select("doc_id", F.sha2("text", 256).alias("h"))
-    firsts = prints.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Stored, so that the join deals both sides anew and a text of very many rows can be split among tasks.
+    firsts = materialise(prints.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "rollup-firsts")
     copies = prints.join(firsts, "h").filter("doc_id > first_id").select("doc_id")
     lines = F.split("text", "\n")
     revised = own.filter(F.size(F.array_distinct(lines)) < F.size(lines)).withColumn(
@@ -141,5 +201,6 @@ def query(docs: DataFrame) -> DataFrame:
     roll.commit("0003", deletes=copies)
     roll.commit("0004", upserts=revised)
     roll.commit("0003", deletes=copies)
+    roll.compact()
     roll.commit("0004", upserts=revised)
     return roll.totals()

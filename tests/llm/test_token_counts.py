@@ -45,3 +45,27 @@ def test_batches_are_idempotent_and_signed(spark):
     assert roll.commit("3", deletes=make((None, "", "", ""), (1, "", "", "")))
     assert total() == set() and roll.current().count() == 0
     assert Counter(roll.batches()) == Counter(["1", "2", "3"])
+
+
+def test_attempts_exclude_each_other_and_snapshots_keep_the_state(spark):
+    words = {"w@1": token_counts._words}
+    roll = token_counts.Rollup(spark, counters=words)
+    make = lambda *r: spark.createDataFrame(list(r), "doc_id long, source string, lang string, text string")
+    total = lambda: {(r.source, r.n_docs, r.n_tokens) for r in roll.totals().collect()}
+    roll.commit("1", make((1, "a", "en", "one two"), (2, "a", "en", "three")))
+    slow = f"{roll.path}/staged/slow"
+    roll._store(make((9, "a", "en", "x")).selectExpr("doc_id", "'w@1' AS tokenizer", "source", "lang", "1 AS sign", "1L AS n_tokens"), slow)
+    assert not roll._publish(slow, "batches/1") and total() == {("a", 2, 3)}
+    assert roll.compact() and total() == {("a", 2, 3)}
+    roll.commit("2", deletes=make((2, "", "", "")))
+    assert total() == {("a", 1, 2)} and not roll.commit("1", make((5, "q", "en", "again")))
+    assert roll.compact()
+    roll.vacuum()
+    assert total() == {("a", 1, 2)} and roll.current().count() == 1 and roll.batches() == ["1", "2"]
+    assert not roll.commit("2", make((5, "q", "en", "again")))
+    assert roll.commit("3", upserts=make((1, "b", "en", "x"))) and total() == {("b", 1, 1)}
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "ab c\n" * 300_000, "a", "en")], "doc_id long, text string, source string, lang string")
+    assert {r.tokenizer: r.n_tokens for r in token_counts.count_tokens(df, token_counts.COUNTERS).collect()}["words@1"] == 600_000
