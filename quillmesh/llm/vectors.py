@@ -21,7 +21,7 @@ from quillmesh.llm.components import connected_components
 
 COSINE = 0.9
 #: Members of a cell, and of a block of a cell, on average, and pivots at most (they are fitted on the driver).
-CELL = 2000
+CELL = 8000
 MAX_PIVOTS = 4096
 #: Single precision decides outside this margin of the threshold, double precision inside.
 MARGIN = 1e-4
