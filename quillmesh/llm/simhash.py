@@ -35,6 +35,10 @@ MAX_CENTRES = 256
 #: Sampled fingerprints within the radius that make a centre.
 DENSE = 24
 LEAF = 32
+#: Fingerprints of a shard that are all compared; a fuller shard is split again. Members of a part that are
+#: compared by their distance in order.
+FULL = 4096
+SMALL = 48
 
 
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -133,8 +137,42 @@ class Forest:
 
 
 def shard_links(x: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that join the linked fingerprints of one shard: all its links when they are few, else a
-    spanning forest of them, found breadth-first over the fingerprints not yet reached."""
+    """Index pairs that join the linked fingerprints of one shard. Those of a full shard are parted again: of radius +
+    1 disjoint groups of the bits that vary in it, linked fingerprints have one in common, so pairs are looked for
+    among those that agree in a group. Shards of any size thus stay far from all pairs unless they are dense."""
+    n = len(x)
+    if n <= FULL:
+        return _all_links(x, radius)
+    ones = np.zeros(64, np.int64)
+    for start in range(0, n, 65_536):
+        ones += np.unpackbits(x[start : start + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.argsort(np.abs(2 * ones - n), kind="stable")
+    bits = bits[(ones[bits] > 0) & (ones[bits] < n)]
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for group in range(radius + 1):
+        key = np.zeros(n, np.uint64)
+        for k, b in enumerate(bits[group :: radius + 1].tolist()):
+            key |= ((x >> np.uint64(b)) & np.uint64(1)) << np.uint64(k)
+        order = np.argsort(key, kind="stable")
+        y, key = x[order], key[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(starts, append=n)
+        for a, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+            i, j = _all_links(y[a : a + size], radius)
+            found.append((order[a + i], order[a + j]))
+        few = np.repeat(sizes <= SMALL, sizes)
+        for d in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
+            i = np.flatnonzero(few[:-d] & (key[d:] == key[:-d]))
+            i = i[np.bitwise_count(y[i] ^ y[i + d]) <= radius]
+            found.append((order[i], order[i + d]))
+    left, right = (np.concatenate(side) for side in zip(*found, strict=True))
+    pairs = np.unique(np.minimum(left, right) * n + np.maximum(left, right))
+    return pairs // n, pairs % n
+
+
+def _all_links(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that join linked fingerprints: all their links when they are few, else a spanning forest of them,
+    found breadth-first over the fingerprints not yet reached."""
     n, budget = len(x), 8 * len(x)
     left, right, found = [], [], 0
     for start in range(0, n, 128):

@@ -103,6 +103,40 @@ def test_dense_shard_is_spanned(n):
             assert int(x[a] ^ x[b]).bit_count() > 4 or find(a) == find(b)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_full_shard_loses_no_link(monkeypatch, seed):
+    """Scattered fingerprints that agree in the bits of one band, pairs among them, and a dense group."""
+    monkeypatch.setattr(simhash, "FULL", 100)
+    draw = random.Random(seed)
+    fps = {draw.getrandbits(42) << 22 | 0b1011 << 10 | draw.getrandbits(2) for _ in range(1500)}
+    for f in draw.sample(sorted(fps), 300):
+        for _ in range(draw.choice([1, 2, 3, 4, 5])):
+            f ^= 1 << draw.randrange(64)
+        fps.add(f)
+    centre = draw.getrandbits(64)
+    for _ in range(400):
+        f = centre
+        for _ in range(draw.randrange(7)):
+            f ^= 1 << draw.randrange(64)
+        fps.add(f)
+    x = np.array(sorted(fps), np.uint64)
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 4
+    i, j = simhash.shard_links(x)
+    assert near[i, j].all() and (i != j).all()
+
+    def components(link):
+        label = np.arange(len(x))
+        while True:
+            new = np.where(link, label[None, :], len(x)).min(axis=1)
+            if (new == label).all():
+                return label
+            label = new
+
+    found = np.eye(len(x), dtype=bool)
+    found[i, j] = found[j, i] = True
+    assert (components(found) == components(near)).all()
+
+
 def test_dense_groups_take_the_star_path(spark):
     draw = random.Random(9)
     fps = set()
