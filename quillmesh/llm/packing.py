@@ -12,7 +12,6 @@ import re
 import unicodedata
 import zlib
 from collections import defaultdict
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +51,8 @@ def _byte_letters() -> list[str]:
 
 class WordEncoder(dict):
     """Token ids of whole texts by a tokenizer whose pieces never cross ASCII white space, nor the place between
-    a letter and a sign. Each word is encoded once by the tokenizer and remembered; a word of letters needs its
-    model only, as normalising and splitting leave it whole."""
+    a letter and a sign. Each word is encoded once by the tokenizer and remembered as the bytes of its ids, so that a
+    text's ids are one join; a word of letters needs its model only, as normalising and splitting leave it whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,16 +64,17 @@ class WordEncoder(dict):
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
             text = word.decode("utf-8", "surrogatepass")
             low = text.lower()
             # A sigma's lower case depends on its place, which the tokenizer doesn't look at.
             if low.isalpha() and unicodedata.is_normalized("NFC", text) and "\u03a3" not in text:
-                ids = tuple(t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, low.encode()))))
+                found = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, low.encode())))]
             else:
-                ids = tuple(self.whole(text))
+                found = self.whole(text)
+            ids = np.array(found, "<u4").tobytes()
         if len(word) <= MEMO_BYTES:
             if len(self) >= MEMO_WORDS:
                 self.older = dict(self)
@@ -87,7 +87,7 @@ class WordEncoder(dict):
         if b"<|" in data:  # special tokens are found before anything is lower-cased
             return np.array(self.whole(text), "<u4")
         words = _SIGN.sub(b" ", data.lower()).split()
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, words)), dtype="<u4")
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
