@@ -196,3 +196,14 @@ def matched_books(books: list[str]) -> Column:
         ),
     )
     return F.filter(F.array(*map(F.lit, books)), lambda b: F.array_contains(keys, key(b)))
+
+
+def is_book_summary(source_id: str, books: list[str]) -> Column:
+    """Rows of one source without a chapter that are about one of the books."""
+    keys = [re.sub("[^a-z0-9]", "", b.lower()) for b in books]
+    return F.coalesce((F.col("source_id") == source_id) & F.col("chapter").isNull() & key(F.col("book")).isin(*keys), F.lit(False))
+
+
+def of_source_and_book(source_id: str, book: str, books: list[str]) -> Column:
+    """Rows of a source that belong to a book, by any of its marks."""
+    return F.coalesce((F.col("source_id") == source_id) & F.array_contains(matched_books(books), book), F.lit(False))

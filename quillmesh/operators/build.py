@@ -65,7 +65,8 @@ def _finish(df: DataFrame, base: Column, body: Column) -> DataFrame:
 
 
 def commentary(pages: DataFrame, books: list[str], licence: str, content_type: str, limit: int = chunking.MAX_CHARS) -> DataFrame:
-    """Web commentary pages with blocks to chunks, each with a head of title, passage and book."""
+    """Web commentary pages with blocks to chunks, each with a head of title, passage and book; a page's own head
+    limits its body."""
     checked = with_error(
         mark_repeated(pages, ["id", "canonical_url"]),
         [("repeated_identity", F.col("repeated")), ("wrong_content_type", ~F.col("content_type").eqNullSafe(F.lit(content_type))),
@@ -83,9 +84,11 @@ def commentary(pages: DataFrame, books: list[str], licence: str, content_type: s
     headed = located.withColumn("_head", head).withColumn("_title_quotes", title["removed"])
     headed = headed.withColumn("error", F.when(F.length("_head") > limit - 502, F.coalesce("error", F.lit("head_too_long"))).otherwise(F.col("error")))
     fine = headed.filter("error IS NULL")
-    blocks = fine.select(F.col("id").alias("page_id"), F.posexplode("blocks").alias("pos", "b")).select("page_id", "pos", "b.type", "b.text")
-    longest = fine.agg(F.coalesce(F.max(F.length("_head")), F.lit(0))).first()[0]
-    pieces = chunking.body_pieces(blocks, refs.book_pattern(books), limit - longest - 2)
+    room = F.lit(limit - 2) - F.length("_head")
+    blocks = fine.select(F.col("id").alias("page_id"), room.alias("limit"), F.posexplode("blocks").alias("pos", "b")).select(
+        "page_id", "limit", "pos", "b.type", "b.text"
+    )
+    pieces = chunking.body_pieces(blocks, refs.book_pattern(books))
     counts = pieces.groupBy("page_id").agg(F.count(F.lit(1)).alias("page_chunk_count"))
     joined = fine.join(pieces.withColumnRenamed("text", "_body").join(counts, "page_id").withColumnRenamed("page_id", "id"), "id", "left")
     suffix = F.when(F.col("page_chunk_count") > 1, F.format_string("_%02d", F.col("piece_no"))).otherwise("")

@@ -63,15 +63,20 @@ def pieces(text: str, limit: int = MAX_CHARS, lossy: bool = False) -> list[str]:
     return pack.done
 
 
-def split_text(c: Column, limit: int = MAX_CHARS, lossy: bool = False) -> Column:
-    """Array of pieces of a text column; null gives none."""
+def split_text(c: Column, limit: int | Column = MAX_CHARS, lossy: bool = False) -> Column:
+    """Array of pieces of a text column, each at most ``limit`` long, which may be a column; null gives none. Only texts
+    that are too long are sent to Python."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(lambda t: pieces(t, limit, lossy) if t is not None else [])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, limits in batches:
+            cut = [pieces(t, n, lossy) if t is not None else [] for t, n in zip(texts, limits, strict=True)]
+            yield pd.Series(cut, index=texts.index)
 
-    return run(normalise(c))
+    text, most = normalise(c), limit if isinstance(limit, Column) else F.lit(limit)
+    fits = F.length(text) <= most
+    whole = F.filter(F.array(text), lambda t: t != "")
+    return F.when(fits, whole).otherwise(run(F.when(~fits, text), most))
 
 
 def chunk(df: DataFrame, id_col: str, text_col: str, limit: int = MAX_CHARS, lossy: bool = False) -> DataFrame:
@@ -87,6 +92,11 @@ def chunk(df: DataFrame, id_col: str, text_col: str, limit: int = MAX_CHARS, los
     )
 
 
+def sentences(c: Column) -> Column:
+    """Array of sentences: cut at white space after a full stop, exclamation or question mark."""
+    return F.split(c, r"(?<=[.!?])\s+")
+
+
 def hard_cut(c: Column, limit: int = MAX_CHARS) -> Column:
     """Array of fixed cuts, natively."""
     n = F.greatest(F.ceil(F.length(c) / limit), F.lit(1)).cast("int")
@@ -101,11 +111,14 @@ def with_headings(blocks: DataFrame, page: str = "page_id", pos: str = "pos") ->
 
 
 def body_pieces(blocks: DataFrame, reference_pattern: str, limit: int = MAX_CHARS, page: str = "page_id") -> DataFrame:
-    """Page blocks to ``(page, piece_no, text, quotes_removed, cells_removed)``.
+    """Page blocks to ``(page, piece_no, text, quotes_removed, cells_removed)``. A column ``limit`` of the blocks, the
+    same for all of a page, goes before the parameter.
 
     Quoted spans go; headings become a "Section:" line of the blocks below them; of a table row only the last
     cell stays, with the first cell's reference, or the cell itself if it is short; then blocks are packed.
     """
+    if "limit" not in blocks.columns:
+        blocks = blocks.withColumn("limit", F.lit(limit))
     clean = blocks.withColumn("_q", remove_quoted(F.coalesce("text", F.lit(""))))
     clean = clean.withColumn("text", F.col("_q.text")).withColumn("_removed", F.col("_q.removed")).drop("_q")
     counted = clean.groupBy(page).agg(F.sum("_removed").alias("quotes_removed"))
@@ -124,30 +137,34 @@ def body_pieces(blocks: DataFrame, reference_pattern: str, limit: int = MAX_CHAR
     items = active.select(
         page,
         "pos",
+        "limit",
         F.concat(section, text).alias("text"),
         F.when(is_row & (F.size(cells) >= 2), F.size(cells) - 1).otherwise(0).alias("cells"),
-    ).withColumn("items", split_text(F.col("text"), limit))
-    lone = clean.filter(F.lower("type") == "heading").filter(F.col("text") != "").groupBy(page).agg(F.max_by("text", "pos").alias("last_heading"))
+    ).withColumn("items", split_text(F.col("text"), F.col("limit")))
+    lone = clean.filter(F.lower("type") == "heading").filter(F.col("text") != "").groupBy(page).agg(
+        F.max_by("text", "pos").alias("last_heading"), F.max("limit").alias("limit")
+    )
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def packed(s: pd.Series) -> pd.Series:
-        def run(parts):
-            pack = _Packer(limit)
+    def packed(items: pd.Series, limits: pd.Series) -> pd.Series:
+        def run(parts, most):
+            pack = _Packer(most)
             for p in parts:
                 pack.add(p, "\n\n", 0)
             pack.flush()
             return pack.done
 
-        return s.map(run)
+        return pd.Series([run(*x) for x in zip(items, limits, strict=True)], index=items.index)
 
     whole = items.groupBy(page).agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "items"))), lambda x: x["items"])).alias("items"),
         F.sum("cells").alias("cells_removed"),
+        F.max("limit").alias("limit"),
     )
     only = lone.join(whole, page, "left_anti").select(
-        page, F.array(F.concat(F.lit("Section: "), F.col("last_heading"))).alias("items"), F.lit(0).cast("long").alias("cells_removed")
+        page, F.array(F.concat(F.lit("Section: "), F.col("last_heading"))).alias("items"), F.lit(0).cast("long").alias("cells_removed"), "limit"
     )
-    out = whole.unionByName(only).join(counted, page).select(page, "quotes_removed", "cells_removed", packed("items").alias("_p"))
+    out = whole.unionByName(only).join(counted, page).select(page, "quotes_removed", "cells_removed", packed("items", "limit").alias("_p"))
     return out.select(page, "quotes_removed", "cells_removed", F.posexplode("_p").alias("_i", "text")).withColumn(
         "piece_no", F.col("_i") + 1
     ).drop("_i")

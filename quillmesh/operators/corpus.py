@@ -129,6 +129,32 @@ def cross_reference_chunks(edges: DataFrame, verses: DataFrame, label: Column) -
     return found, listed.join(verses, keys, "left_anti").select(*keys)
 
 
+def carried(marker: Column, by: list[str], order: list[str]) -> Column:
+    """The last marker that is not null, up to and with the row."""
+    return F.last(marker, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def section_number(opens: Column, by: list[str], order: list[str]) -> Column:
+    """How many rows up to and with this one open a section."""
+    return F.sum(F.when(opens, 1).otherwise(0)).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def drop_adjacent(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
+    """Rows but those whose value is that of the row before."""
+    before = F.lag(F.struct(value)).over(Window.partitionBy(*by).orderBy(*order))
+    return df.withColumn("_before", before).filter(~F.col("_before").eqNullSafe(F.struct(value))).drop("_before")
+
+
+def exact_copies(df: DataFrame, content: Column, id_col: str) -> DataFrame:
+    """``(text_sha256, id, copies)``: each content once, with its smallest id."""
+    return df.groupBy(F.sha2(content, 256).alias("text_sha256")).agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("copies"))
+
+
+def first_values(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """``(key, value)``: the value of each key's first row, by a minimum and not a window."""
+    return df.groupBy(key).agg(F.min_by(value, order).alias(value))
+
+
 def verses_from_lines(lines: DataFrame) -> DataFrame:
     """Marked-up scripture lines ``(file, pos, value)`` to ``(file, chapter, verse_start, verse_end, text)``.
 
@@ -139,7 +165,6 @@ def verses_from_lines(lines: DataFrame) -> DataFrame:
     chapter = F.nullif(F.regexp_extract(line, r"\A\\c\s+([0-9]+)", 1), F.lit("")).try_cast("int")
     verse = r"\A\\v\s+([0-9]+)(?:-([0-9]+))?\s*(.*)"
     start = F.nullif(F.regexp_extract(line, verse, 1), F.lit("")).try_cast("int")
-    so_far = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.select(
         "file",
         "pos",
@@ -152,8 +177,8 @@ def verses_from_lines(lines: DataFrame) -> DataFrame:
     )
     state = marked.select(
         "*",
-        F.last("c", ignorenulls=True).over(so_far).alias("chapter"),
-        F.sum(F.when(F.col("start").isNotNull() | F.col("c").isNotNull(), 1).otherwise(0)).over(so_far).alias("group"),
+        carried(F.col("c"), ["file"], ["pos"]).alias("chapter"),
+        section_number(F.col("start").isNotNull() | F.col("c").isNotNull(), ["file"], ["pos"]).alias("group"),
     )
     grouped = state.groupBy("file", "group").agg(
         F.max("chapter").alias("chapter"),
@@ -168,3 +193,13 @@ def note_text(note: Column, quote: Column, support: Column) -> Column:
     """Labelled optional parts, then the note."""
     part = lambda label, c: F.when(normalise(F.coalesce(c, F.lit(""))) != "", F.concat(F.lit(label), normalise(c)))
     return F.concat_ws("\n\n", part("Quoted expression: ", quote), part("Supporting topic: ", support), normalise(F.replace(note, F.lit("\\n"), F.lit("\n"))))
+
+
+def source_ids(chunks: DataFrame) -> DataFrame:
+    """One row: the distinct sources in order."""
+    return chunks.agg(F.sort_array(F.collect_set("source_id")).alias("source_ids"))
+
+
+def in_reference_order(df: DataFrame, code: str = "code") -> DataFrame:
+    """By book code, chapter and verse; codes in alphabetical and not in canonical order."""
+    return df.orderBy(code, "chapter", "verse")

@@ -16,27 +16,26 @@ from quillmesh.functions.text import retrieval_prefix
 
 Embedder = Callable[[list[str], str], "np.ndarray"]
 BATCH, RETRIES = 16, 4
-#: Statuses after which a call is repeated.
-RETRIED = frozenset((429, 500, 502, 503, 504))
 
 
 class ServiceError(RuntimeError):
     """A service failed; the message never holds a key."""
 
-    def __init__(self, message: str, status: int | None = None):
+    def __init__(self, message: str, status: int | None = None, retry_after: float | None = None):
         super().__init__(" ".join(message.split())[:500])
-        self.status = status
+        self.status, self.retry_after = status, retry_after
 
 
 def with_retries(call: Callable[[], object], retries: int = RETRIES, base: float = 1.0, cap: float = 30.0, sleep=time.sleep):
-    """Calls again after retried statuses, backing off exponentially with jitter; the last error is raised."""
+    """Calls again after 429 and statuses from 500 on, after the seconds that the service asks for, at most a minute, or
+    else backing off exponentially with jitter; the last error is raised."""
     for attempt in range(retries + 1):
         try:
             return call()
         except ServiceError as e:
-            if attempt == retries or e.status not in RETRIED:
+            if attempt == retries or not (e.status == 429 or (e.status or 0) >= 500):
                 raise
-            sleep(min(cap, base * 2**attempt) * (0.5 + random.random() / 2))
+            sleep(min(60.0, e.retry_after) if e.retry_after is not None else min(cap, base * 2**attempt) * (0.5 + random.random() / 2))
 
 
 def validate(matrix: np.ndarray, n: int, dimension: int) -> np.ndarray:
@@ -67,19 +66,23 @@ def hashing_embedder(dimension: int) -> Embedder:
 
 
 def embed(df: DataFrame, text: str, embedder: Embedder, dimension: int, task: str = "document", model: str = "hashing", batch: int = BATCH) -> DataFrame:
-    """Adds ``embedding``: prefixed, sent in batches with retries, validated and scaled to unit length."""
+    """Adds ``embedding``: prefixed, sent in batches with retries, validated and scaled to unit length; null for a null
+    text, which is not sent."""
     if dimension < 1 or task not in ("document", "query") or batch < 1:
         raise ValueError("dimension and batch are at least 1, the task is document or query")
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in series:
-            out = []
-            for start in range(0, len(s), batch):
-                texts = s.iloc[start : start + batch].tolist()
+            out = pd.Series([None] * len(s), index=s.index, dtype=object)
+            filled = np.flatnonzero(s.notna().to_numpy())
+            for start in range(0, len(filled), batch):
+                at = filled[start : start + batch]
+                texts = s.iloc[at].tolist()
                 m = validate(with_retries(lambda t=texts: embedder(t, task)), len(texts), dimension)
-                out += list(m / np.linalg.norm(m, axis=1, keepdims=True))
-            yield pd.Series(out, index=s.index)
+                for i, v in zip(at, m / np.linalg.norm(m, axis=1, keepdims=True), strict=True):
+                    out.iat[i] = v
+            yield out
 
     return df.withColumn("embedding", run(retrieval_prefix(F.col(text), model, task)))
 
@@ -115,11 +118,27 @@ def build_index(chunks: DataFrame, path: str, embedder: Embedder, dimension: int
     return spark.read.parquet(path)
 
 
-def answer(df: DataFrame, model: Callable[[str], str]) -> DataFrame:
-    """Adds ``answer`` of a model to ``prompt``."""
+def embed_query(text: str, embedder: Embedder, dimension: int, model: str = "hashing") -> list[float]:
+    """One text as a query's unit vector, on the driver."""
+    sent = f"search_query: {text}" if model.split(":", 1)[0].lower() == "nomic-embed-text" else text
+    m = validate(with_retries(lambda: embedder([sent], "query")), 1, dimension)
+    return (m[0] / np.linalg.norm(m[0])).astype(float).tolist()
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda p: with_retries(lambda: model(p)))
 
-    return df.withColumn("answer", run("prompt"))
+def smoke_test(chunks: DataFrame, embedder: Embedder, dimension: int, **options) -> DataFrame:
+    """The first two chunks by id, embedded; nothing is written."""
+    return embed(chunks.orderBy("chunk_id").limit(2), "text", embedder, dimension, **options)
+
+
+def answer(df: DataFrame, model: Callable[[str], str], prompt: str = "prompt") -> DataFrame:
+    """Adds ``answer`` of a model to ``prompt``, and ``latency_ms``, retries included."""
+
+    @F.pandas_udf("answer string, latency_ms long")
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p in s:
+            began = time.monotonic()
+            rows.append((with_retries(lambda p=p: model(p)), round((time.monotonic() - began) * 1000)))
+        return pd.DataFrame(rows, columns=["answer", "latency_ms"], index=s.index)
+
+    return df.withColumn("_answer", run(prompt)).select("*", "_answer.answer", "_answer.latency_ms").drop("_answer")

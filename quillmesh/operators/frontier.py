@@ -11,7 +11,7 @@ from quillmesh.operators.corpus import first_wins, last_wins
 #: Reasons after which a page is not tried again.
 TERMINAL_REASONS = (
     "not_html", "too_large", "redirected_off_host", "robots_disallowed", "wrong_content_type", "no_main_content",
-    "too_short", "duplicate_content", "not_found", "licence_missing",
+    "too_short", "duplicate_content", "not_found", "licence_missing", "host_not_allowed",
 )
 TRANSIENT_REASON = "request_failed"
 
@@ -67,3 +67,17 @@ def merge_order(candidates: DataFrame, records: DataFrame, key: str = "url", pos
 
 def first_urls(urls: DataFrame, key: str = "url", pos: str = "pos") -> DataFrame:
     return first_wins(urls, [key], [pos])
+
+
+def page_list(spark, base: str, first: int, last: int, before: tuple[str, ...] = (), after: tuple[str, ...] = ()) -> DataFrame:
+    """``(pos, url)`` of a site that is listed and not discovered: pages before, chapters, pages after."""
+    chapters = [f"chapter-{n}" for n in range(first, last + 1)]
+    return spark.createDataFrame([(i, f"{base.rstrip('/')}/{p}") for i, p in enumerate((*before, *chapters, *after))], "pos int, url string")
+
+
+#: Cells of a whitelist that switch a row on.
+ENABLED = ("1", "true", "yes", "y")
+
+
+def enabled(c: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(c)).isin(*ENABLED), F.lit(False))

@@ -7,13 +7,17 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose content is never text of the page, and elements that end a block.
 SKIP = frozenset("script style noscript template nav footer header aside form button svg iframe".split())
 BLOCKS = {"p": "paragraph", "li": "list_item", "blockquote": "quote", "tr": "table_row", "pre": "paragraph", "td": None, "th": None}
 HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
+#: What a paragraph that only names a verse looks like, and the least length of a quotation before it.
+VERSE_REFERENCE = r"\A(?:[1-3]\s*)?[A-Za-z]+(?:\s+[A-Za-z]+)?\s+\d+:\d+(?:\s*[-\u2013]\s*\d+)?\z"
+QUOTED = 80
 CONTAINERS = frozenset(("article", "main", "div", "section", "ul", "ol", "table", "body"))
 
 
@@ -21,11 +25,16 @@ CONTAINERS = frozenset(("article", "main", "div", "section", "ul", "ol", "table"
 class Page:
     title: str = ""
     canonical: str = ""
-    blocks: list[tuple[str, str]] = field(default_factory=list)
+    #: Blocks inside each element asked for; None is the whole page.
+    scoped: dict[str | None, list[tuple[str, str]]] = field(default_factory=dict)
     links: list[str] = field(default_factory=list)
     json_ld: list[dict] = field(default_factory=list)
     removed: dict[str, int] = field(default_factory=dict)
 
+    @property
+    def blocks(self) -> list[tuple[str, str]]:
+        return next(iter(self.scoped.values()))
+
 
 def _flat(s: str) -> str:
     return " ".join(s.replace("\u200b", "").replace("\u00ad", "").split())
@@ -35,21 +44,26 @@ class _Reader(HTMLParser):
     """Text in document order; a block ends where a block element starts or ends. Unclosed elements are closed
     by the next block; a skipped element ends at its own end tag only."""
 
-    def __init__(self, skip_classes: frozenset[str], scope: str | None):
+    def __init__(self, skip_classes: frozenset[str], scopes: tuple[str | None, ...]):
         super().__init__(convert_charrefs=True)
-        self.page, self.skip_classes, self.scope = Page(), skip_classes, scope
+        self.page, self.skip_classes = Page(scoped={s: [] for s in scopes}), skip_classes
+        self.inside = {s: int(s is None) for s in scopes}
         self.kind, self.text, self.skipping, self.depth = "paragraph", [], None, 0
         self.in_title = self.in_ld = False
-        self.title, self.ld, self.cells, self.inside = [], [], None, 0
+        self.title, self.ld, self.cells = [], [], None
+
+    def put(self, kind: str, text: str, again: bool) -> None:
+        for scope, found in self.page.scoped.items():
+            if self.inside[scope] and (again or not found or found[-1] != (kind, text)):
+                found.append((kind, text))
 
     def close_block(self, kind: str = "paragraph") -> None:
         text = _flat("".join(self.text))
         self.text = []
         if self.cells is not None and text:
             self.cells.append(text)
-        elif text and (not self.page.blocks or self.page.blocks[-1] != (self.kind, text)):
-            if self.scope is None or self.inside:
-                self.page.blocks.append((self.kind, text))
+        elif text:
+            self.put(self.kind, text, again=False)
         self.kind = kind
 
     def handle_starttag(self, tag, attrs):
@@ -71,9 +85,9 @@ class _Reader(HTMLParser):
             return
         if tag == "a" and at.get("href"):
             self.page.links.append(at["href"])
-        if tag == self.scope:
+        if tag in self.inside:
             self.close_block()
-            self.inside += 1
+            self.inside[tag] += 1
         if tag == "br":
             self.text.append("\n")
         elif tag == "tr":
@@ -108,12 +122,12 @@ class _Reader(HTMLParser):
         elif tag == "tr":
             self.close_block()
             cells, self.cells = self.cells or [], None
-            if cells and (self.scope is None or self.inside):
-                self.page.blocks.append(("table_row", " | ".join(cells)))
+            if cells:
+                self.put("table_row", " | ".join(cells), again=True)
         elif tag in BLOCKS or tag in HEADINGS or tag in CONTAINERS:
             self.close_block(self.kind if tag in ("td", "th") else "paragraph")
-        if tag == self.scope and self.inside:
-            self.inside -= 1
+        if self.inside.get(tag):
+            self.inside[tag] -= 1
 
     def handle_data(self, data):
         if self.in_ld:
@@ -124,9 +138,10 @@ class _Reader(HTMLParser):
             self.text.append(data)
 
 
-def read_page(html: str | None, skip_classes: frozenset[str] = frozenset(), scope: str | None = None) -> Page:
-    """One page; null is an empty one. With ``scope`` only blocks inside that element count."""
-    reader = _Reader(skip_classes, scope)
+def read_page(html: str | None, skip_classes: frozenset[str] = frozenset(), *scopes: str | None) -> Page:
+    """One page, read once; null is an empty one. With ``scopes`` the blocks inside each of those elements; ``blocks``
+    are those of the first."""
+    reader = _Reader(skip_classes, scopes or (None,))
     reader.feed(html or "")
     reader.close()
     reader.close_block()
@@ -134,11 +149,14 @@ def read_page(html: str | None, skip_classes: frozenset[str] = frozenset(), scop
     return reader.page
 
 
-def best_candidate(html: str | None, scopes: tuple[str | None, ...] = ("article", "main", None)) -> tuple[str, str]:
+CANDIDATES = ("article", "main", None)
+
+
+def best_candidate(page: Page) -> tuple[str, str]:
     """Name of the container with the most text, the first of equals, and its text; equal blocks count once."""
     best = ("", "")
-    for scope in scopes:
-        text = "\n".join(dict.fromkeys(t for _, t in read_page(html, scope=scope).blocks))
+    for scope, found in page.scoped.items():
+        text = "\n".join(dict.fromkeys(t for _, t in found))
         if len(text) > len(best[1]):
             best = (scope or "page", text)
     return best
@@ -180,30 +198,48 @@ def blocks(pages: DataFrame, skip_classes: frozenset[str] = frozenset(), scope:
             rows = [
                 {"page_id": i, "pos": k, "type": kind, "text": text}
                 for i, h in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True)
-                for k, (kind, text) in enumerate(read_page(h, skip_classes, scope).blocks)
+                for k, (kind, text) in enumerate(read_page(h, skip_classes, *([scope] if scope else [])).blocks)
             ]
             yield pa.RecordBatch.from_pylist(rows, schema=BLOCK_SCHEMA)
 
     return pages.select("page_id", "html").mapInArrow(run, "page_id long, pos int, type string, text string")
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """One row for each page: title, canonical link, best text and its container, authors, links, skipped elements."""
+def without_quoted_paragraphs(blocks: DataFrame, page: str = "page_id", pos: str = "pos", parent: str | None = None) -> DataFrame:
+    """Blocks without long paragraphs that the next paragraph gives as a quotation, and without that reference.
+
+    A paragraph that is a verse reference and nothing else, after one of QUOTED characters and more (of the same
+    ``parent``, if the blocks name it), goes with it. Other blocks between two paragraphs do not part them."""
+    own = Window.partitionBy(page, *([parent] if parent else []), F.col("type")).orderBy(pos)
+    is_paragraph = F.col("type") == "paragraph"
+    reference, length = F.trim("text").rlike(VERSE_REFERENCE), F.length("text")
+    quoted = (length >= QUOTED) & F.coalesce(F.lead(reference).over(own), F.lit(False))
+    cited = reference & F.coalesce(F.lag(length).over(own) >= QUOTED, F.lit(False))
+    return blocks.withColumn("_out", is_paragraph & (quoted | cited)).filter(~F.coalesce("_out", F.lit(False))).drop("_out")
+
+
+def extract(pages: DataFrame, *keep: str) -> DataFrame:
+    """One row for each page, which is read once: title, canonical link, best text and its container, authors, links,
+    skipped elements; ``keep`` are columns of ``pages`` that are passed on."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for i, h in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                page, (container, text) = read_page(h), best_candidate(h)
+                page = read_page(h, frozenset(), None, *CANDIDATES[:-1])
+                page.scoped = {s: page.scoped[s] for s in CANDIDATES}
+                container, text = best_candidate(page)
                 rows.append({
                     "page_id": i, "title": page.title, "canonical": page.canonical, "text": text, "container": container,
                     "authors": author_names(article(page.json_ld).get("author")), "links": page.links,
                     "removed": list(page.removed.items()),
                 })
-            yield pa.RecordBatch.from_pylist(rows, schema=PAGE_SCHEMA)
+            out = pa.RecordBatch.from_pylist(rows, schema=PAGE_SCHEMA)
+            yield pa.RecordBatch.from_arrays([*out.columns, *(batch.column(c) for c in keep)], [*out.schema.names, *keep])
 
-    return pages.select("page_id", "html").mapInArrow(
+    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for c in keep for f in [pages.schema[c]])
+    return pages.select("page_id", "html", *keep).mapInArrow(
         run,
         "page_id long, title string, canonical string, text string, container string, authors array<string>, "
-        "links array<string>, removed map<string,int>",
+        "links array<string>, removed map<string,int>" + extra,
     )

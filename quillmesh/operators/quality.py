@@ -53,3 +53,18 @@ def missing_keys(line: str, required: list[str]) -> Column:
 def publish_gate(failed: DataFrame) -> bool:
     """All or nothing: whether nothing failed."""
     return failed.isEmpty()
+
+
+def profile(df: DataFrame, by: str, distinct: str, total: str) -> DataFrame:
+    """Per group: rows, distinct values of one column and the sum of another."""
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(distinct).alias(f"{distinct}s"), F.sum(total).alias("total"))
+
+
+def length_gates(df: DataFrame, by: str, text: str, least: tuple[int, ...]) -> DataFrame:
+    """Per group: rows that each least length would let pass, as ``n<length>``."""
+    return df.groupBy(by).agg(*[F.count_if(F.length(text) >= n).alias(f"n{n}") for n in least])
+
+
+def conditional_counts(df: DataFrame, by: str, conditions: dict[str, Column]) -> DataFrame:
+    """Per group: rows for which each condition holds, in one pass."""
+    return df.groupBy(by).agg(*[F.count_if(c).alias(name) for name, c in conditions.items()])

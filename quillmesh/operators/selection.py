@@ -59,3 +59,8 @@ def sequence_gaps(df: DataFrame, page: str, number: str, total: str) -> DataFram
     )
     fine = (F.col("totals") == 1) & (F.col("n") >= 1) & (F.col("numbers") == F.sequence(F.lit(1).cast(df.schema[number].dataType), F.greatest(F.col("n"), F.lit(1)).cast(df.schema[number].dataType)))
     return grouped.filter(~F.coalesce(fine, F.lit(False)))
+
+
+def counts_by_window(df: DataFrame, windows: DataFrame, keys: list[str], start: str, end: str, low: str, high: str, label: str, by: str) -> DataFrame:
+    """Rows of each ``by`` value that meet each window; windows that none meets are not there."""
+    return interval_join(df, windows, keys, start, end, low, high).groupBy(label, by).agg(F.count(F.lit(1)).alias("n"))

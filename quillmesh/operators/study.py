@@ -6,6 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmesh.operators.corpus import lookup_side
+
+#: The columns of the four exports.
+PERSON = ("response_code", "sequence_id")
+BACKGROUND_COLUMNS = (
+    *PERSON, "passage_block", "task_1_passage", "task_1_condition", "task_2_passage", "task_2_condition", "age_group", "english_level",
+    "christian_identity_duration", "bible_study_frequency", "ai_use_frequency", "bible_ai_experience", "theological_training",
+)
+ROUND = (*PERSON, "round_number", "system_label", "system_condition", "passage_reference")
+TURN_COLUMNS = (*ROUND, "turn_index", "question", "answer", "latency_ms", "status", "error_type", "retrieved_sources_json")
+CONSTANT_COLUMNS = ("chat_model", "embedding_model", "rag_top_k")
+RATINGS = ("use01", "use02", "use03", "ctx01", "tru01", "tru02", "tru03", "clr01", "sat01", "int01", "int02")
+EVALUATION_COLUMNS = (*ROUND, "passage_familiarity", *RATINGS)
+FINAL_COLUMNS = (*PERSON, "pref01", "pref03", "pref03_other", "pref04", "fb01")
 #: The fields of a source record that are shown, and the steps of a session.
 SOURCE = T.StructType([T.StructField(c, T.StringType()) for c in ("rank", "title", "source_name", "reference", "url")])
 STEPS, FIRST, PER_ROUND = 11, 4, 3
@@ -79,7 +93,7 @@ def with_position(df: DataFrame, order: str) -> DataFrame:
 
 def rounds(people: DataFrame, plan: DataFrame) -> DataFrame:
     """Two rows per participant: the passage and condition of each round of its sequence."""
-    joined = people.join(F.broadcast(plan), "sequence_id")
+    joined = people.join(lookup_side(plan), "sequence_id")
     pair = lambda n: F.struct(F.lit(n).alias("round"), F.col(f"passage{n}").alias("passage"), F.col(f"condition{n}").alias("condition"))
     keep = [c for c in joined.columns if c not in ("passage1", "passage2", "condition1", "condition2")]
     return joined.select(*keep, F.explode(F.array(pair(1), pair(2))).alias("r")).select(*keep, "r.*")
@@ -98,3 +112,46 @@ def export(players: DataFrame, participants: DataFrame, columns: list[str], cons
     if details is not None:
         out = out.join(details, "player_id")
     return out.withColumns({k: F.lit(v) for k, v in (constants or {}).items()}).select(*columns, *(constants or {}))
+
+
+def _completed(players: DataFrame, participants: DataFrame, columns: tuple[str, ...], details: DataFrame | None = None, constants: dict[str, object] | None = None) -> DataFrame:
+    """An export's rows; answers that a table lacks are null."""
+    known = set(players.columns) | set(participants.columns) | set(details.columns if details is not None else ())
+    filled = players.withColumns({c: F.lit(None).cast("string") for c in columns if c not in known})
+    return export(filled, participants, list(columns), constants, details)
+
+
+def background(players: DataFrame, participants: DataFrame) -> DataFrame:
+    """One row for each completed participant: assignment and background answers."""
+    return _completed(players, participants, BACKGROUND_COLUMNS)
+
+
+def chat_turns(players: DataFrame, participants: DataFrame, turns: DataFrame, models: dict[str, object]) -> DataFrame:
+    """One row for each turn of completed participants, with the models as constant columns; readers that want turns
+    in order sort by turn_index."""
+    if set(models) != set(CONSTANT_COLUMNS):
+        raise ValueError(f"models are {CONSTANT_COLUMNS}")
+    return _completed(players, participants, TURN_COLUMNS, turns, models)
+
+
+def task_evaluations(players: DataFrame, participants: DataFrame) -> DataFrame:
+    """One row for each completed participant and round: familiarity and ratings."""
+    return _completed(players, participants, EVALUATION_COLUMNS)
+
+
+def final_comparison(players: DataFrame, participants: DataFrame) -> DataFrame:
+    """One row for each completed participant: preferences and remarks."""
+    return _completed(players, participants, FINAL_COLUMNS)
+
+
+def by_response(*exports: DataFrame) -> DataFrame:
+    """Exports of one person's answers side by side; columns that repeat are those of the first."""
+    out = exports[0]
+    for e in exports[1:]:
+        out = out.join(e.select("response_code", *[c for c in e.columns if c not in out.columns]), "response_code", "left")
+    return out
+
+
+def scrubbed(participants: DataFrame, *labels: str) -> DataFrame:
+    """Labels that could name a person, blanked."""
+    return participants.withColumns({c: F.lit("") for c in labels if c in participants.columns})

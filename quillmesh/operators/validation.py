@@ -23,11 +23,17 @@ def report(
     hashes: dict[str, list[str]] | None = None,
     permission_sources: list[str] = (),
     limit: int = LIMIT,
+    licences: dict[str, str] | None = None,
+    url_prefixes: dict[str, str] | None = None,
+    tagged: list[str] = (),
+    policy: dict[str, dict[str, str]] | None = None,
 ) -> DataFrame:
     """Row checks in one pass, group checks beside it.
 
     ``required``: columns that rows of a source must have filled ("*": of all). ``hashes``: columns that must be
-    SHA-256 for a source. Page numbering is checked where ``source_page_id`` is filled.
+    SHA-256 for a source. Page numbering is checked where ``source_page_id`` is filled. ``licences`` and
+    ``url_prefixes`` are what a source's rows must have, ``tagged`` sources must name books, ``policy`` gives the values
+    that columns of a source must have. Fields, licences, URLs, tags and policies are a check of each source.
     """
     of = lambda s: F.lit(True) if s == "*" else F.col("source_id") == s
     missing, bad_hash = F.lit(False), F.lit(False)
@@ -45,6 +51,23 @@ def report(
         "ineligible": ~F.col("index_eligible").eqNullSafe(F.lit(True)),
         "bad_hash": bad_hash,
     }
+    for source, columns in required.items():
+        if source != "*":
+            lacking_field = F.lit(False)
+            for c in columns:
+                lacking_field = lacking_field | _blank(c)
+            checks[f"metadata:{source}"] = of(source) & lacking_field
+    for source, licence in (licences or {}).items():
+        checks[f"licence:{source}"] = of(source) & ~F.col("license").eqNullSafe(F.lit(licence))
+    for source, prefix in (url_prefixes or {}).items():
+        checks[f"url:{source}"] = of(source) & ~F.coalesce(F.col("canonical_url").startswith(prefix), F.lit(False))
+    for source in tagged:
+        checks[f"book_tags:{source}"] = of(source) & (F.size(F.coalesce("book_tags", F.array().cast("array<string>"))) == 0)
+    for source, values in (policy or {}).items():
+        other = F.lit(False)
+        for c, v in values.items():
+            other = other | ~F.col(c).cast("string").eqNullSafe(F.lit(v))
+        checks[f"policy:{source}"] = of(source) & other
     if permission_sources:
         from quillmesh.functions.privacy import permitted
 
@@ -112,3 +135,23 @@ def require(problems: DataFrame) -> None:
         raise ValueError("; ".join(f"{r.check}: {r.violations}" for r in bad))
 
 
+
+
+def line_report(lines: DataFrame, required: list[str]) -> DataFrame:
+    """Checks of raw JSON lines ``(line, raw, bad)``: lines that are no JSON objects, and lines that lack a key."""
+    bad = lines.filter("bad").withColumn("line", F.col("line").cast("string"))
+    lacking = lines.filter(~F.col("bad") & (F.size(quality.missing_keys("raw", required)) > 0)).withColumn("line", F.col("line").cast("string"))
+    return quality.group_check("invalid_json", bad, "line").unionByName(quality.group_check("missing_keys", lacking, "line"))
+
+
+def source_row_problems(manifest: DataFrame, source_id: str, licence: str, file_hash: str) -> DataFrame:
+    """``(problem)`` of a source's row in the manifest: no row, another licence, another file."""
+    own = manifest.filter(F.col("source_id") == source_id)
+    row = own.agg(F.count(F.lit(1)).alias("n"), F.first("license").alias("license"), F.first("file_hash").alias("file_hash"))
+    found = F.when(F.col("n") == 0, F.array(F.lit("no_row"))).otherwise(
+        F.array_compact(F.array(
+            F.when(~F.col("license").eqNullSafe(F.lit(licence)), F.lit("unexpected_licence")),
+            F.when(~F.lower("file_hash").eqNullSafe(F.lit(file_hash.lower())), F.lit("hash_differs")),
+        ))
+    )
+    return row.select(F.explode(found).alias("problem"))

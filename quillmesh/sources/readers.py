@@ -88,7 +88,8 @@ def markdown(spark: SparkSession, path: str, segment: str | None = None) -> Data
 
 
 def xml_words(spark: SparkSession, path: str, row_tag: str = "verse", id_attribute: str = "_osisID", word: str = "w") -> DataFrame:
-    """``(id, words array<struct<text, lemma, morph>>)`` of verse elements; malformed rows are dropped."""
+    """``(id, words array<struct<text, lemma, morph>>)`` of verse elements; files that are not well-formed, which
+    ``malformed_xml`` names, are to be left out of ``path``; malformed rows of the others are dropped."""
     attributes = [T.StructField("_VALUE", T.StringType()), T.StructField("_lemma", T.StringType()), T.StructField("_morph", T.StringType())]
     schema = T.StructType([T.StructField(id_attribute, T.StringType()), T.StructField(word, T.ArrayType(T.StructType(attributes)))])
     df = spark.read.format("xml").option("rowTag", row_tag).option("mode", "DROPMALFORMED").option("ignoreNamespace", True).schema(schema).load(path)
@@ -96,14 +97,33 @@ def xml_words(spark: SparkSession, path: str, row_tag: str = "verse", id_attribu
     return df.select(F.col(id_attribute).alias("id"), words.alias("words"))
 
 
+def malformed_xml(spark: SparkSession, path: str, glob: str = "*.xml") -> DataFrame:
+    """``(file, error)`` of the files that no XML parser reads to the end, to be reported as warnings and skipped."""
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+
+    def run(batches):
+        from xml.parsers import expat
+
+        for batch in batches:
+            rows = []
+            for file, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    expat.ParserCreate().Parse(raw, True)
+                except expat.ExpatError as e:
+                    rows.append({"file": file, "error": str(e)})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file", pa.string()), ("error", pa.string())]))
+
+    return whole.select("path", "content").mapInArrow(run, "file string, error string")
+
+
 def sitemap_locations(df: DataFrame, column: str = "xml") -> DataFrame:
     """``(source columns, loc)`` of sitemap or sitemap-index documents, whatever their namespace."""
     return df.select(*[c for c in df.columns if c != column], F.explode(F.xpath(column, F.lit("//*[local-name()='loc']/text()"))).alias("loc"))
 
 
-def zip_member(df: DataFrame, suffix: str, limit: int = 20 << 20) -> DataFrame:
+def zip_member(df: DataFrame, suffix: str, limit: int = 20 << 20, header: bytes = b"") -> DataFrame:
     """``(path, member, content, error)`` of binary files: exactly one member with the suffix, no absolute or
-    parent paths, size at most the limit."""
+    parent paths, size at most the limit, and a content that starts with ``header``."""
 
     def run(batches):
         for batch in batches:
@@ -121,6 +141,8 @@ def zip_member(df: DataFrame, suffix: str, limit: int = 20 << 20) -> DataFrame:
                             error = "too_large"
                         else:
                             member, content = found[0].filename, z.read(found[0])
+                            if not content.startswith(header):
+                                member, content, error = None, None, "unexpected_header"
                 except zipfile.BadZipFile:
                     error = "not_a_zip"
                 rows.append({"path": path, "member": member, "content": content, "error": error})
@@ -150,26 +172,50 @@ def document_pages(df: DataFrame, read_pages: Callable[[bytes], list[str]], leas
     return pages.join(hashes, "path")
 
 
-def fetched(urls: DataFrame, fetch: Callable[[str], tuple[int, str, bytes]], hosts: list[str], limit: int = 8 << 20) -> DataFrame:
-    """``(url, status, final_url, body, reason)`` by a fetch client passed in; no network here. Off-host redirects,
-    errors and oversize bodies get a reason and no body."""
+#: A fetch client: ``url -> (status, final url, body)``, and the content type if it is known; OSError if there is no
+#: answer. Sessions, agents and retries are the client's.
+Fetch = Callable[[str], tuple]
+#: What a page is served as.
+PAGE_TYPES = ("text/html", "application/xhtml+xml")
+
+
+def fetched(
+    urls: DataFrame, fetch: Fetch, hosts: list[str], limit: int = 8 << 20, allow: Callable[[str], bool] | None = None, types: tuple[str, ...] = PAGE_TYPES
+) -> DataFrame:
+    """``(url, status, final_url, body, reason)`` by a fetch client passed in; no network here. URLs that ``allow`` (a
+    robots gate) refuses or that are off the hosts are not fetched; off-host redirects, other content types, errors
+    and oversize bodies get a reason and no body. A redirect's target has to pass the gate too."""
 
     def run(batches):
         from urllib.parse import urlsplit
 
+        def one(url: str) -> tuple:
+            if urlsplit(url).hostname not in hosts and allow is not None:
+                return None, None, None, "host_not_allowed"
+            if allow is not None and not allow(url):
+                return None, None, None, "robots_disallowed"
+            try:
+                status, final, body, *kind = fetch(url)
+            except OSError:
+                return None, None, None, "request_failed"
+            reason = None
+            if status == 404:
+                reason = "not_found"
+            elif status >= 400:
+                reason = "request_failed"
+            elif urlsplit(final).hostname not in hosts:
+                reason = "redirected_off_host"
+            elif allow is not None and final != url and not allow(final):
+                reason = "robots_disallowed"
+            elif kind and not str(kind[0]).lower().startswith(types):
+                reason = "not_html"
+            elif len(body) > limit:
+                reason = "too_large"
+            return status, final, None if reason else body, reason
+
+        names = ("status", "final_url", "body", "reason")
         for batch in batches:
-            rows = []
-            for url in batch.column("url").to_pylist():
-                try:
-                    status, final, body = fetch(url)
-                    reason = (
-                        "not_found" if status == 404 else "request_failed" if status >= 400
-                        else "redirected_off_host" if urlsplit(final).hostname not in hosts
-                        else "too_large" if len(body) > limit else None
-                    )
-                except OSError:
-                    status, final, body, reason = None, None, None, "request_failed"
-                rows.append({"url": url, "status": status, "final_url": final, "body": None if reason else body, "reason": reason})
+            rows = [{"url": u, **dict(zip(names, one(u), strict=True))} for u in batch.column("url").to_pylist()]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("url", pa.string()), ("status", pa.int32()), ("final_url", pa.string()), ("body", pa.binary()), ("reason", pa.string())]))
 
     return urls.select("url").mapInArrow(run, "url string, status int, final_url string, body binary, reason string")

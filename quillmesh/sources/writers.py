@@ -15,19 +15,24 @@ def _fs(df: DataFrame, path: str):
 
 
 def replace(df: DataFrame, path: str, fmt: str = "parquet", backup: str | None = None, **options) -> None:
-    """Writes beside the target and renames: readers see the old or the new table, never half of one. With
-    ``backup`` the old one is kept there."""
+    """Writes beside the target, moves the old table aside and the new one in. Readers see the old table, the new one,
+    or between the two renames none, but never half of one; if the second rename fails the old table is moved back.
+    The old table is deleted last, or kept at ``backup``."""
     staged = f"{path}.staged-{uuid.uuid4().hex}"
     df.write.options(**options).format(fmt).save(staged)
     target, fs = _fs(df, path)
     source, _ = _fs(df, staged)
+    aside = None
     if fs.exists(target):
-        if backup:
-            fs.rename(target, _fs(df, backup)[0])
-        else:
-            fs.delete(target, True)
+        aside = _fs(df, backup or f"{path}.old-{uuid.uuid4().hex}")[0]
+        if not fs.rename(target, aside):
+            raise RuntimeError(f"could not move {path} aside; the new table is at {staged}")
     if not fs.rename(source, target):
+        if aside is not None:
+            fs.rename(aside, target)
         raise RuntimeError(f"could not publish {path}")
+    if aside is not None and not backup:
+        fs.delete(aside, True)
 
 
 def sorted_jsonl(df: DataFrame, path: str, order: str = "chunk_id") -> None:
@@ -62,3 +67,28 @@ def append_events(df: DataFrame, path: str) -> None:
 def table(df: DataFrame, path: str) -> None:
     """An export as CSV with a header."""
     replace(df, path, "csv", header="true")
+
+
+def keep_existing(df: DataFrame, path: str, force: bool = False) -> bool:
+    """Writes a snapshot unless there is one (False), or in its place if forced."""
+    target, fs = _fs(df, path)
+    if fs.exists(target) and not force:
+        return False
+    replace(df, path)
+    return True
+
+
+def output_path(path: str, smoke: bool = False) -> str:
+    """Where a run writes: a smoke run beside the full output, never over it."""
+    return f"{path.rstrip('/')}_smoke" if smoke else path
+
+
+def report(pieces: dict[str, DataFrame], path: str, dry_run: bool = False) -> DataFrame:
+    """One row of JSON: each frame, which has a few rows of counts, as an array of records."""
+    out = None
+    for name, df in pieces.items():
+        one = df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
+        out = one if out is None else out.crossJoin(one)
+    if not dry_run:
+        replace(out.coalesce(1), path, "json", ignoreNullFields="false")
+    return out

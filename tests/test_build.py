@@ -80,8 +80,8 @@ def test_answering(spark):
     q = spark.createDataFrame([(1, "RAG", "q?", "s", "p"), (2, "no-retrieval", "q?", "s", "p")], "question_id int, condition string, question string, scope string, passage string")
     c = spark.createDataFrame([(1, "[S1] x", ["a"]), (2, "[S1] y", ["b"])], "question_id int, context string, sources array<string>")
     got = {r.question_id: r for r in answering.answer_questions(q, c, lambda p: "Answer\n\nNote: SOURCE_CONTEXT citation").collect()}
-    assert got[1].condition == "rag" and got[1].sources == ["a"] and "Evidence:\n[S1] x" in got[1].prompt and got[1].answer == "Answer"
-    assert got[2].condition == "baseline" and got[2].sources == [] and "Evidence:\nNONE" in got[2].prompt
+    assert got[1].condition == "rag" and got[1].sources == ["a"] and "SOURCE CONTEXT:\n[S1] x" in got[1].prompt and got[1].answer == "Answer"
+    assert got[2].condition == "baseline" and got[2].sources == [] and "SOURCE CONTEXT:\nNONE" in got[2].prompt
     with pytest.raises(Exception, match="unknown condition"):
         answering.with_context(q.withColumn("condition", F.lit("z")), c).collect()
     r = spark.createDataFrame([('{"candidates":[{"content":{"parts":[{"text":"a"},{"text":"b"}]}}]}',), ("{}",)], "j string")

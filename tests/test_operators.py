@@ -177,3 +177,122 @@ def test_quality(spark):
     assert got == {"empty": (2, [1, 3]), "never": (0, None)}
     line = spark.createDataFrame([('{"a": null}',), ("[1]",)], "l string")
     assert [r[0] for r in line.select(quality.missing_keys("l", ["a", "b"])).collect()] == [["b"], ["a", "b"]]
+
+
+def _scripture(s):
+    out, i = [], 0
+    while i < len(s):
+        for opens, closes in ((r"\f ", r"\f*"), (r"\x ", r"\x*"), (r"\fe ", r"\fe*"), (r"\zaln-s ", r"\*")):
+            if s.startswith(opens, i):
+                i = s.index(closes, i) + len(closes)
+                out.append(" ")
+                break
+        else:
+            if s.startswith(r"\zaln-e\*", i):
+                i += len(r"\zaln-e\*")
+                out.append(" ")
+            elif s.startswith(r"\w ", i):
+                end = s.index(r"\w*", i)
+                out.append(s[i + 3 : end].split("|")[0])
+                i = end + 3
+            elif s[i] == "\\":
+                i += 1
+                while i < len(s) and (s[i].isalnum() or s[i] in "+-"):
+                    i += 1
+                i += s[i : i + 1] == "*"
+                out.append(" ")
+            else:
+                out.append(s[i])
+                i += 1
+    return " ".join("".join(out).split())
+
+
+def test_scripture_markers_against_a_scanner(spark):
+    import random
+
+    from quillmesh.functions import text
+
+    draw = random.Random(8)
+    parts = ["plain", r"\w word|lemma=x\w*", r"\f + note here\f*", r"\x - ref\x*", r'\zaln-s |x="G1" \*', r"\zaln-e\*", r"\q1 ", r"\p ", " , "]
+    rows = ["".join(draw.choices(parts, k=draw.randrange(1, 9))) for _ in range(300)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, s string")
+    got = {r.i: r.t for r in df.select("i", text.strip_markers(F.col("s")).alias("t")).collect()}
+    for i, r in enumerate(rows):
+        assert got[i] == _scripture(r), r
+
+
+def test_markdown_is_taken_off(spark):
+    from quillmesh.functions import text
+
+    cases = {
+        "# A\n\n\n\ntext": "A\n\ntext", "see [b](u) and [[c]] and ![d](e)": "see b and c and d", "[![in](i.png)](u)": "in",
+        "<!-- x\ny -->**b** _i_ `c` > q": "b i c q", "##no": "no", "a # b": "a # b", "[](u)": "[](u)", "![](u)x": "x",
+    }
+    df = spark.createDataFrame(list(cases.items()), "s string, want string")
+    for r in df.select("s", "want", text.strip_markdown(F.col("s")).alias("t")).collect():
+        assert r.t == r.want, r.s
+
+
+def test_each_page_is_cut_by_its_own_head(spark):
+    from quillmesh.operators import build
+
+    body = "Some words here. " * 300
+    block = [("paragraph", body)]
+    row = lambda i, title: (i, f"https://h/{i}", title, "", [], [], "L", "article", block)
+    schema = "id string, canonical_url string, title string, passage string, passage_tags array<string>, book_tags array<string>, license string, content_type string, blocks array<struct<type: string, text: string>>"
+    alone = build.commentary(spark.createDataFrame([row("a", "Short")], schema), ["Ruth"], "L", "article")
+    beside = build.commentary(spark.createDataFrame([row("a", "Short"), row("b", "Long " * 400)], schema), ["Ruth"], "L", "article")
+    texts = lambda df: sorted(r.text for r in df.filter("source_page_id = 'a'").collect())
+    assert texts(alone) == texts(beside) and len(texts(alone)) == 2
+    assert all(len(r.text) <= 3500 for r in beside.collect())
+
+
+def test_queries_in_blocks_find_what_all_pairs_find(spark):
+    import numpy as np
+
+    from quillmesh.operators import retrieval
+
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(300, 6))
+    x[50:60] = x[40:50] * 3  # ties
+    rows = [(i, v.tolist(), int(i % 7)) for i, v in enumerate(x)] + [(900, [0.0] * 6, 1), (901, [1.0], 1), (902, None, 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long").repartition(5)
+    queries = vectors.filter("vec_id < 300 AND vec_id % 10 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for k, source, block in ((4, None, 7), (1, "label", 1000)):
+        got = {}
+        for r in retrieval.best_of_queries(vectors, queries, k, source, block).collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.source))
+        assert set(got) == set(range(0, 300, 10))
+        for q, found in got.items():
+            score = np.round(unit @ unit[q], 9)
+            order = sorted(range(300), key=lambda i: (-score[i], i))
+            want = order[:k] if source is None else [next(i for i in order if i % 7 == s) for s in range(7)]
+            assert sorted(i for i, _ in found) == sorted(want)
+
+
+def test_budget_by_parts_is_the_budget(spark):
+    from quillmesh.operators import retrieval
+
+    rows = [(i, "ab"[i % 2], "x" * (i * 37 % 900)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    plain = retrieval.budgeted(df, ["lang"], [F.col("doc_id")], "text", 300, 2000)
+    parts = retrieval.budgeted(df, ["lang"], [F.col("doc_id")], "text", 300, 2000, "doc_id")
+    columns = ["doc_id", "lang", "used", "shown"]
+    assert sorted(map(tuple, plain.select(columns).collect())) == sorted(map(tuple, parts.select(columns).collect()))
+
+
+def test_keyed_history_and_checkpoint(spark, tmp_path):
+    from quillmesh.streaming import turns
+
+    rows = [(1, "q1", "a1", 1), (1, "q2", "", 2), (1, "q3", "a3", 3), (2, "p1", "b1", 1)]
+    schema = "player_id long, question string, answer string, ts long"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = lambda: turns.with_history(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    for _ in range(2):  # the second run finds nothing new
+        turns.start(stream(), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = {(r.player_id, r.turn_index): (r.question, r.history) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 4 and got[(1, 3)] == ("q3", '[{"role": "user", "text": "q1"}, {"role": "model", "text": "a1"}]')
+    told = spark.createDataFrame([(1, 1, "q1", "a1", "ok"), (1, 2, "q2", None, "error")], "player_id long, turn_index long, question string, answer string, status string")
+    again = turns.recomputed_history(spark.createDataFrame([(1,), (3,)], "player_id long"), told).orderBy("player_id").collect()
+    assert [m.text for m in again[0].history] == ["q1", "a1"] and again[1].history is None
