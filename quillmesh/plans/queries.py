@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import privacy, refs, text, urls
 from quillmesh.functions import vectors as vec
-from quillmesh.operators import chunking, corpus, embedding, frontier, html, quality, retrieval, selection, study
+from quillmesh.operators import chunking, corpus, embedding, frontier, html, overlap, quality, retrieval, selection, study
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,30 +36,34 @@ def _n(c=None):
 
 # ---- vectors and retrieval
 
+#: Queries are all rows whose id is divisible by 100, against all rows.
 _SCORED = """
 scored AS (
-  SELECT v.*, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
-  FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"""
+  SELECT q.vec_id AS query_id, v.*, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
+  FROM embeddings v, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) q)"""
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    one = vectors.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return retrieval.scores_of_queries(vectors, one)
+def _queries(vectors: DataFrame) -> DataFrame:
+    return vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
-@query(f"WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, vec_id LIMIT 10")
+@query(f"""WITH {_SCORED} SELECT query_id, vec_id, round(score, 6) AS score FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY scored.score DESC, vec_id) <= 10""")
 def vector_topk(spark, sf_dir):
-    return retrieval.top_k(_scored(spark, sf_dir), 10, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+    vectors = table(spark, sf_dir, "embeddings")
+    return retrieval.best_of_queries(vectors, _queries(vectors), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_SCORED},
-capped AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS n FROM scored),
-ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM capped WHERE n <= 1)
-SELECT rank, vec_id, label, round(score, 6) AS score FROM ranked WHERE rank <= 5""")
+capped AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS n FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM capped WHERE n <= 1)
+SELECT query_id, rank, vec_id, label, round(score, 6) AS score FROM ranked WHERE rank <= 5""")
 def vector_topk_diverse(spark, sf_dir):
-    best = retrieval.diversified(_scored(spark, sf_dir), 5, 1, "label", "vec_id")
-    return best.select(F.col("rank").cast("long").alias("rank"), "vec_id", "label", F.round("score", 6).alias("score"))
+    vectors = table(spark, sf_dir, "embeddings")
+    best = retrieval.diversified(retrieval.best_of_queries(vectors, _queries(vectors), 1, "label"), 5, 1, "source", "vec_id", ["query_id"])
+    return best.select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.col("source").cast("int").alias("label"), F.round("score", 6).alias("score")
+    )
 
 
 _CONTEXT = """SELECT rank, doc_id, source, round(score, 6) AS score, used, substr(text, 1, least(4000, 15000 - used)::BIGINT) AS shown
@@ -68,15 +72,17 @@ FROM (SELECT *, coalesce(sum(least(length(text), 4000)) OVER (ORDER BY rank ROWS
 
 
 @query(f"""WITH {_SCORED},
-scoped AS (SELECT d.doc_id, d.source, d.text, s.score FROM scored s JOIN documents d ON s.vec_id = d.doc_id WHERE d.lang = 'en'),
+scoped AS (SELECT d.doc_id, d.source, d.text, s.score FROM scored s JOIN documents d ON s.vec_id = d.doc_id WHERE d.lang = 'en' AND s.query_id = 0),
 capped AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS n FROM scoped),
 ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM capped WHERE n <= 1)
 {_CONTEXT}""")
 def scoped_retrieval(spark, sf_dir):
-    """Filter by scope first, then score, diversify, rank, and cut to the context budget."""
+    """One question, that of vector 0: filter by scope first, then score, diversify, rank, and cut to the context budget."""
     docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "source", "text")
     # Only ids, sources and scores are ranked; the texts of the few winners are joined at the end.
-    scored = _scored(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "score")
+    vectors = table(spark, sf_dir, "embeddings")
+    question = vectors.filter("vec_id = 0").first()
+    scored = retrieval.with_scores(vectors, list(question["embedding"])).select(F.col("vec_id").alias("doc_id"), "score")
     best = retrieval.diversified(scored.join(docs.select("doc_id", "source"), "doc_id"), 6, 1, "source", "doc_id")
     texts = docs.select("doc_id", "text").join(F.broadcast(best), "doc_id")
     cut = retrieval.budgeted(texts.withColumn("g", F.lit(0)), ["g"], [F.col("rank")], "text")
@@ -97,22 +103,25 @@ def vector_normalise_check(spark, sf_dir):
  SELECT *, coalesce(sum(least(length(text), 4000)) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used
  FROM documents) WHERE used < 15000""")
 def context_budget(spark, sf_dir):
-    cut = retrieval.budgeted(table(spark, sf_dir, "documents"), ["lang"], [F.col("doc_id")], "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    cut = retrieval.budgeted(docs, ["lang"], [F.col("doc_id")], "text", id_col="doc_id")
     used = F.col("used").cast("long")
     return cut.select("lang", "doc_id", used.alias("used"), F.least(F.lit(4000), F.lit(15000) - used).cast("long").alias("room"), F.length("shown").cast("long").alias("shown_chars"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, label AS wanted, embedding FROM embeddings WHERE vec_id < 20),
+@query("""WITH q AS (SELECT vec_id AS query_id, label AS wanted, embedding FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, wanted, v.label, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) AS n
  FROM embeddings v, q WHERE v.vec_id <> q.query_id),
 c AS (SELECT query_id, bool_or(label = wanted) AS passed FROM s WHERE n <= 5 GROUP BY query_id)
 SELECT count_if(passed)::BIGINT AS passed, count(*) AS cases, avg(passed::INT::DOUBLE) AS rate FROM c""")
 def retrieval_pass_rate(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    cases = vectors.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"), F.col("embedding").alias("query"))
-    scored = retrieval.scores_of_queries(vectors, cases).filter("vec_id <> query_id")
+    found = retrieval.best_of_queries(vectors, _queries(vectors), 6).filter("vec_id <> query_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    hits = scored.withColumn("n", F.row_number().over(best)).filter("n <= 5").withColumn("hit", F.col("label") == F.col("wanted"))
+    first = found.withColumn("n", F.row_number().over(best)).filter("n <= 5").select("query_id", "vec_id")
+    labels = vectors.select("vec_id", "label")
+    wanted = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
+    hits = first.join(labels, "vec_id").join(wanted, "query_id").withColumn("hit", F.col("label") == F.col("wanted"))
     return retrieval.pass_rate(hits, "query_id", "hit")
 
 
@@ -126,9 +135,9 @@ def embed_index(spark, sf_dir):
 
 # ---- counts, duplicates, gates
 
-@query("SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")
+@query("SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, sum(n_chars)::BIGINT AS total FROM documents GROUP BY source")
 def source_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(_n(), F.countDistinct("lang").alias("langs"), F.sum("n_chars").alias("chars"))
+    return quality.profile(table(spark, sf_dir, "documents"), "source", "lang", "n_chars")
 
 
 @query("SELECT c_nationkey AS key, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 10")
@@ -145,7 +154,7 @@ def dup_text_first_wins(spark, sf_dir):
 
 @query("SELECT text_sha256, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, sha256(text) AS text_sha256 FROM documents) GROUP BY 1")
 def exact_hash_dedup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("text_sha256")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    return corpus.exact_copies(table(spark, sf_dir, "documents"), F.col("text"), "doc_id")
 
 
 _W = r"\p{L}\p{M}\p{N}_"
@@ -182,31 +191,37 @@ def excluded_pages_hist(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(reason.alias("reason")).groupBy("reason").agg(_n())
 
 
-@query("""SELECT licence, count(*) AS n FROM (SELECT CASE WHEN lower(text) LIKE '%cc by-nc%' THEN 'cc-by-nc' WHEN lower(text) LIKE '%apache license%' THEN 'apache'
- WHEN lower(text) LIKE '%mit license%' THEN 'mit' WHEN lower(text) LIKE '%general public license%' THEN 'gpl' END AS licence FROM documents) GROUP BY licence""")
+@query("""SELECT licence, url, count(*) AS n FROM (SELECT CASE WHEN t LIKE '%by-nc/4.0%' OR t LIKE '%attribution-noncommercial 4.0%' THEN 'CC BY-NC 4.0'
+ WHEN t LIKE '%by/4.0%' OR t LIKE '%attribution 4.0%' THEN 'CC BY 4.0' ELSE '' END AS licence,
+ CASE licence WHEN 'CC BY-NC 4.0' THEN 'https://creativecommons.org/licenses/by-nc/4.0/' WHEN 'CC BY 4.0' THEN 'https://creativecommons.org/licenses/by/4.0/' ELSE '' END AS url
+ FROM (SELECT replace(replace(lower(text), 'mit license', 'attribution 4.0'), 'apache license', 'by-nc/4.0') AS t FROM documents)) GROUP BY ALL""")
 def licence_class(spark, sf_dir):
-    low = F.lower("text")
-    licence = F.when(low.contains("cc by-nc"), "cc-by-nc").when(low.contains("apache license"), "apache").when(low.contains("mit license"), "mit").when(low.contains("general public license"), "gpl")
-    return table(spark, sf_dir, "documents").select(licence.alias("licence")).groupBy("licence").agg(_n())
+    """The tables hold other licences than the classifier knows; their names are put in its words first."""
+    named = F.replace(F.replace(F.lower("text"), F.lit("mit license"), F.lit("Attribution 4.0")), F.lit("apache license"), F.lit("by-nc/4.0"))
+    found = table(spark, sf_dir, "documents").select(text.classify_licence(named).alias("c"))
+    return found.groupBy(F.col("c.licence").alias("licence"), F.col("c.url").alias("url")).agg(_n())
 
 
 @query("SELECT source, count_if(length(text) >= 120)::BIGINT AS n120, count_if(length(text) >= 200)::BIGINT AS n200, count_if(length(text) >= 300)::BIGINT AS n300 FROM documents GROUP BY source")
 def min_length_gate(spark, sf_dir):
-    least = lambda k: F.count_if(F.length("text") >= k).alias(f"n{k}")
-    return table(spark, sf_dir, "documents").groupBy("source").agg(least(120), least(200), least(300))
+    return quality.length_gates(table(spark, sf_dir, "documents"), "source", "text", (120, 200, 300))
 
 
-@query("""SELECT 'duplicate_ids' AS check, count(*) AS violations FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)
-UNION ALL SELECT 'empty_text', count_if(trim(text) = '')::BIGINT FROM documents
-UNION ALL SELECT 'oversize', count_if(length(text) > 3500)::BIGINT FROM documents
-UNION ALL SELECT 'wrong_length', count_if(length(text) <> n_chars)::BIGINT FROM documents
-UNION ALL SELECT 'unlabelled', count(*) FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+@query("""WITH found AS (SELECT 'duplicate_ids' AS "check", doc_id AS id FROM documents GROUP BY doc_id HAVING count(*) > 1
+UNION ALL SELECT 'empty_text', doc_id FROM documents WHERE trim(text) = ''
+UNION ALL SELECT 'oversize', doc_id FROM documents WHERE length(text) > 3500
+UNION ALL SELECT 'wrong_length', doc_id FROM documents WHERE length(text) <> n_chars
+UNION ALL SELECT 'unlabelled', doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY id) AS n FROM found)
+SELECT c AS "check", count(id) AS violations, string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (n <= 10) AS examples
+FROM (SELECT unnest(['duplicate_ids', 'empty_text', 'oversize', 'wrong_length', 'unlabelled']) AS c) LEFT JOIN ranked ON c = "check" GROUP BY c""")
 def dq_report(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = quality.row_checks(docs, "doc_id", {"empty_text": F.trim("text") == "", "oversize": F.length("text") > 3500, "wrong_length": F.length("text") != F.col("n_chars")})
     groups = quality.group_check("duplicate_ids", quality.duplicates(docs, "doc_id"), "doc_id")
     unlabelled = quality.group_check("unlabelled", docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_anti"), "doc_id")
-    return rows.unionByName(groups).unionByName(unlabelled).select("check", "violations")
+    every = rows.unionByName(groups).unionByName(unlabelled)
+    return every.select("check", "violations", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
 
 
 # ---- text
@@ -264,8 +279,7 @@ def piece_sequence_complete(spark, sf_dir):
 @query(r"""SELECT doc_id, count(*) AS sentences, max(length(s))::BIGINT AS longest FROM (
  SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents) GROUP BY doc_id""")
 def sentence_explode(spark, sf_dir):
-    parts = F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\u0001"), "\u0001")
-    spread = table(spark, sf_dir, "documents").select("doc_id", F.explode(parts).alias("s"))
+    spread = table(spark, sf_dir, "documents").select("doc_id", F.explode(chunking.sentences(F.col("text"))).alias("s"))
     return spread.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.max(F.length("s")).cast("long").alias("longest"))
 
 
@@ -344,15 +358,15 @@ def first_per_group(spark, sf_dir):
 @query("""SELECT round(sum(o_totalprice), 2) AS total, count(*) AS customers FROM (
  SELECT o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n = 1""")
 def first_per_group_sum(spark, sf_dir):
-    first = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min_by("o_totalprice", "o_orderkey").alias("p"))
-    return first.agg(F.round(F.sum("p"), 2).alias("total"), F.count(F.lit(1)).alias("customers"))
+    first = corpus.first_values(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", "o_orderkey")
+    return first.agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.count(F.lit(1)).alias("customers"))
 
 
 @query("""SELECT user_id, count_if(event_type = 'error')::BIGINT AS errors, count_if(event_type = 'purchase')::BIGINT AS purchases, count_if(value > 10)::BIGINT AS large FROM events GROUP BY user_id""")
 def conditional_counts(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.count_if(F.col("value") > 10).alias("large")
-    )
+    kind = F.col("event_type")
+    conditions = {"errors": kind == "error", "purchases": kind == "purchase", "large": F.col("value") > 10}
+    return quality.conditional_counts(table(spark, sf_dir, "events"), "user_id", conditions)
 
 
 @query("""SELECT s.source AS source FROM (SELECT DISTINCT source FROM documents WHERE lang = 'en') s WHERE s.source NOT IN (SELECT DISTINCT source FROM documents WHERE lang = 'es' AND n_chars > 5000)""")
@@ -367,17 +381,15 @@ def set_difference(spark, sf_dir):
 @query("""SELECT event_id, last_value(CASE WHEN event_type IN ('signup', 'error') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS state,
  sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS section FROM events""")
 def carry_forward(spark, sf_dir):
-    so_far = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    marker = F.when(F.col("event_type").isin("signup", "error"), F.col("event_type"))
+    kind, by, order = F.col("event_type"), ["user_id"], ["ts", "event_id"]
     return table(spark, sf_dir, "events").select(
-        "event_id", F.last(marker, ignorenulls=True).over(so_far).alias("state"), F.sum(F.when(F.col("event_type") == "signup", 1).otherwise(0)).over(so_far).alias("section")
+        "event_id", corpus.carried(F.when(kind.isin("signup", "error"), kind), by, order).alias("state"), corpus.section_number(kind == "signup", by, order).alias("section")
     )
 
 
 @query("""SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type""")
 def adjacent_dup_drop(spark, sf_dir):
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").withColumn("b", before).filter(~F.col("b").eqNullSafe(F.col("event_type"))).select("event_id")
+    return corpus.drop_adjacent(table(spark, sf_dir, "events"), "event_type", ["user_id"], ["ts", "event_id"]).select("event_id")
 
 
 _TURNS = """turns AS (SELECT u.conv_id AS player_id, u.turn AS turn_index, u.text AS question, a.text AS answer, CASE WHEN a.text IS NULL THEN 'error' ELSE 'ok' END AS status
@@ -429,7 +441,7 @@ def export_chat_turns(spark, sf_dir):
 @query("""SELECT c_custkey, c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0""")
 def export_background(spark, sf_dir):
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("participant_id"), (F.col("c_acctbal") > 0).alias("completed_study"))
-    players = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("participant_id", F.col("c_custkey"))
+    players = table(spark, sf_dir, "customer").join(corpus.lookup_side(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("participant_id", F.col("c_custkey"))
     return study.export(players, people, ["c_custkey", "c_mktsegment", "n_name"])
 
 
@@ -471,11 +483,10 @@ def url_normalise(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.normalise_url(F.col("url")).alias("url"))
 
 
-@query("SELECT page_id, regexp_matches(url, '^https://(?:[a-z0-9-]+[.])*example[.](?:com|org)(?:/|$|[?#])') AS allowed FROM pages")
+@query("""SELECT page_id, regexp_matches(url, '^https://(?:blog[.]tionsh[.]example[.]net|thther[.]example[.]org|m[.]ththth[.]example[.]net)/(?:en|de)') AS allowed FROM pages""")
 def url_host_filter(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    fine = urls.host(F.col("url")).rlike(r"(?:\A|\.)example\.(?:com|org)\z") & (F.try_parse_url("url", F.lit("PROTOCOL")) == "https")
-    return pages.select("page_id", F.coalesce(fine, F.lit(False)).alias("allowed"))
+    hosts = ["blog.tionsh.example.net", "thther.example.org", "m.ththth.example.net"]
+    return table(spark, sf_dir, "pages").select("page_id", urls.allowed(F.col("url"), hosts, ["/en", "/de"]).alias("allowed"))
 
 
 @query(f"""WITH p AS (SELECT page_id, {_PATH} AS path FROM pages),
@@ -491,9 +502,8 @@ def url_ancestors(spark, sf_dir):
 @query("""SELECT page_id, len(regexp_extract_all(html, '<p[ >]')) > 0 AS has_paragraph,
  trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages""")
 def html_title(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    flags = pages.select("page_id", F.col("html").rlike("<p[ >]").alias("has_paragraph"))
-    return html.extract(pages).select("page_id", "title").join(flags, "page_id")
+    pages = table(spark, sf_dir, "pages").withColumn("has_paragraph", F.col("html").rlike("<p[ >]"))
+    return html.extract(pages, "has_paragraph").select("page_id", "title", "has_paragraph")
 
 
 @query()
@@ -518,21 +528,7 @@ b AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, array_to_string(w[i:i + 7
 SELECT item_id, doc_id, count(*) AS shared FROM d JOIN b USING (g) GROUP BY ALL""")
 def near_benchmark_overlap(spark, sf_dir):
     """Shared eight-word runs of benchmark items and documents; an extra, not a reference operator."""
-
-    def grams(df: DataFrame, key: str) -> DataFrame:
-        words = F.regexp_extract_all(F.lower("text"), F.lit(r"[^ \t\n\r]+"), 0)
-        split = df.select(key, words.alias("w")).filter(F.size("w") >= 8)
-        spread = split.select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w") - 7)).alias("i"))
-        return spread.select(key, F.array_join(F.slice("w", F.col("i"), F.lit(8)), " ").alias("g")).distinct()
-
-    items = grams(table(spark, sf_dir, "benchmark"), "item_id")
-    return grams(table(spark, sf_dir, "documents"), "doc_id").join(items, "g").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
-
-
-@query(r"""SELECT doc_id, regexp_extract(text, '[0-9]+:[0-9]+') AS found, regexp_extract(text, '\(([^()]*[0-9][^()]*)\)', 1) AS bracketed FROM documents WHERE regexp_matches(text, '[0-9]')""")
-def reference_scan(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike("[0-9]"))
-    return docs.select("doc_id", F.regexp_extract("text", "[0-9]+:[0-9]+", 0).alias("found"), F.regexp_extract("text", r"\(([^()]*[0-9][^()]*)\)", 1).alias("bracketed"))
+    return overlap.shared_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
