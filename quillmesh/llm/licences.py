@@ -44,6 +44,9 @@ NOTICES = (
     Notice("bsd", "redistribution and use in source and binary forms", 4),
     Notice("mpl-2", "mozilla public license version 2 0", 3),
     Notice("proprietary", "all rights reserved", 1),
+    Notice("mit", "under the mit license", 2),
+    Notice("apache-2", "apache license version 2", 2),
+    Notice("cc-by-nc", "cc by nc", 1),
 )
 #: Words that must stand in a match as they are: those that tell one licence from another.
 KEYS = {
@@ -54,6 +57,9 @@ KEYS = {
     "gnu general public license version 3": ("3",),
     "gnu general public license version 2": ("2",),
     "mozilla public license version 2 0": ("2",),
+    "under the mit license": ("mit",),
+    "apache license version 2": ("apache", "2"),
+    "cc by nc": ("cc", "nc"),
 }
 
 
@@ -125,13 +131,16 @@ class Scanner:
                 lo = max(0, end - length + 1 - at - notice.errors)
                 hi = end - length + 1 - at + len(notice.text) + notice.errors
                 runs = windows.setdefault(i, [])
+                runs.append([lo, hi])
+        out = []
+        for i, found in windows.items():
+            notice, runs = self.notices[i], []
+            # Seeds come in the order of their ends, but a later one may stand for a match that begins earlier.
+            for lo, hi in sorted(found):
                 if runs and lo <= runs[-1][1]:
                     runs[-1][1] = max(runs[-1][1], hi)
                 else:
                     runs.append([lo, hi])
-        out = []
-        for i, runs in windows.items():
-            notice = self.notices[i]
             for lo, hi in runs:
                 hi = min(hi, len(line))
                 # The next match, then the best one in its place; a rejected match is passed by one character.
@@ -145,7 +154,13 @@ class Scanner:
                             out.append((notice.label, first, len(inner.split()), sum(x.fuzzy_counts)))
                             lo = max(lo, x.end())
                             break
-        return out
+        # A short notice inside a longer one of its label says nothing more.
+        inside = lambda x, y: x[0] == y[0] and y[1] <= x[1] and x[1] + x[2] <= y[1] + y[2]
+        kept: list[tuple[str, int, int, int]] = []
+        for x in sorted(out, key=lambda x: (-x[2], x[3], x[1])):
+            if not any(inside(x, y) for y in kept):
+                kept.append(x)
+        return sorted(kept, key=lambda x: (x[1], x[0]))
 
 
 def scan_documents(docs: DataFrame, notices=NOTICES) -> DataFrame:
@@ -194,4 +209,29 @@ def query(docs: DataFrame) -> DataFrame:
     return scan_documents(docs).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
         F.size("spans").cast("long").alias("n_fuzzy"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["word"], s["words"], s["errors"])), ",").alias("fuzzy_spans"),
     )
+
+
+def base_query(docs: DataFrame) -> DataFrame:
+    """The base columns alone, which SQL can say."""
+    return scan_documents(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+_FOUND = ", ".join(
+    f"{{'label': '{label}', 'words': {phrase.count(' ') + 1}, 'parts': string_split(flat, ' {phrase.replace(' ', '  ')} ')}}" for phrase, label in BASE_PHRASES.items()
+)
+BASE_ORACLE = f"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+flat AS (SELECT doc_id, len(words)::BIGINT AS n_words, ' ' || array_to_string(words, '  ') || ' ' AS flat FROM split),
+found AS (SELECT doc_id, n_words, list_filter([{_FOUND}], lambda x: len(x.parts) > 1) AS found FROM flat),
+placed AS (
+  SELECT doc_id, n_words, list_transform(found, lambda x: {{'label': x.label, 'n': len(x.parts) - 1,
+    'first': len(regexp_extract_all(x.parts[1], '[^ ]+')), 'last': n_words - len(regexp_extract_all(x.parts[-1], '[^ ]+')) - x.words}}) AS f FROM found)
+SELECT doc_id, n_words, coalesce(list_sum(list_transform(f, lambda x: x.n)), 0)::BIGINT AS n_base,
+  list_min(list_transform(f, lambda x: x.first))::BIGINT AS first_word, list_max(list_transform(f, lambda x: x.last))::BIGINT AS last_word,
+  array_to_string(list_sort(list_transform(f, lambda x: x.label)), ',') AS base_labels
+FROM placed
+"""

@@ -26,6 +26,8 @@ MOST = 2.0
 SHARD_SLOTS = 256
 MAX_SHARDS = 4096
 BUCKET_ROWS = 20_000
+#: Sources up to which their table is broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -100,6 +102,15 @@ def _plan(rows: DataFrame, block: int, seed: int):
     return sizes, want, blocks, draw_shards(np.minimum(quota, int(MOST) * blocks), seed)
 
 
+def _dimension(spark, sizes, want) -> DataFrame:
+    """``(source, at, source_size, target)``, one row for each source; to be broadcast if that is few."""
+    dim = spark.createDataFrame(
+        [(s, i, n, t) for i, ((s, n), t) in enumerate(zip(sizes, want, strict=True))],
+        "source string, at int, source_size long, target double",
+    )
+    return F.broadcast(dim) if len(sizes) <= BROADCAST_SOURCES else dim
+
+
 def mix_blocks(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The mix of ``rows(row_id, doc_id, source, size, tie)``, a materialised table.
 
@@ -108,10 +119,7 @@ def mix_blocks(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[D
     """
     spark = rows.sparkSession
     sizes, want, blocks, counts = _plan(rows, block, seed)
-    dim = spark.createDataFrame(
-        [(s, i, n, t) for i, ((s, n), t) in enumerate(zip(sizes, want, strict=True))],
-        "source string, at int, source_size long, target double",
-    )
+    dim = _dimension(spark, sizes, want)
     before = np.cumsum(counts, axis=0) - counts
     drawn = spark.createDataFrame(
         [(i, int(s), int(counts[i, s]), int(before[i, s]), int(blocks[s])) for i in range(len(counts)) for s in np.flatnonzero(counts[i])],
@@ -138,7 +146,7 @@ def mix_blocks(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[D
     slotted = drawn.repartition(wide, "shard").mapInArrow(slots, "shard int, at int, slot long, epoch int, block long")
     n = rows.count()
     buckets = max(8, n // BUCKET_ROWS)
-    placed = rows.join(F.broadcast(dim.select("source", "at")), rows["source"].eqNullSafe(dim["source"])).select(
+    placed = rows.join(dim.select("source", "at"), rows["source"].eqNullSafe(dim["source"])).select(
         "row_id", "doc_id", "at", "size", "tie", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)).alias("bucket")
     )
     until = Window.unboundedPreceding, -1
@@ -187,7 +195,7 @@ def taken_by_document(docs: DataFrame, block: int = BLOCK, seed: int = SEED) ->
     taken, dim = mix_blocks(rows, block, seed)
     sums = taken.groupBy("row_id").agg(F.sum("length").alias("taken"))
     return (
-        rows.join(F.broadcast(dim), rows["source"].eqNullSafe(dim["source"]))
+        rows.join(dim, rows["source"].eqNullSafe(dim["source"]))
         .join(sums, "row_id", "left")
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
@@ -221,3 +229,25 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
 def query(docs: DataFrame) -> DataFrame:
     """Digest columns of op4."""
     return taken_by_document(docs)
+
+
+def source_targets(docs: DataFrame) -> DataFrame:
+    """``(source, source_size, target)``: the plan alone, which SQL can say; targets to three digits."""
+    rows = docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    sizes, want, _, _ = _plan(rows, BLOCK, SEED)
+    return _dimension(docs.sparkSession, sizes, want).select("source", "source_size", F.round("target", 3).alias("target"))
+
+
+_WEIGHT = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
+TARGETS_ORACLE = rf"""
+WITH sized AS (
+  SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')))::BIGINT AS source_size FROM documents GROUP BY source),
+weighed AS (
+  SELECT *, {MOST} * source_size AS most, CASE (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % {len(WEIGHTS)} {_WEIGHT} END::DOUBLE AS w FROM sized),
+-- Sources reach their most in the order of most / weight; the level is that of the first that does not.
+levels AS (
+  SELECT *, ({SHARE} * sum(source_size) OVER () - coalesce(sum(most) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level
+  FROM weighed WINDOW o AS (ORDER BY most / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT source, source_size, round(least(most, w * (SELECT coalesce(max(level) FILTER (w * level <= most), 1e300) FROM levels)), 3) AS target FROM levels
+""".replace(' COLLATE "C"', "")

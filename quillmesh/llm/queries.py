@@ -50,6 +50,18 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablation_query(documents(spark, sf_dir))
 
 
+def licence_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.base_query(documents(spark, sf_dir))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.source_targets(documents(spark, sf_dir))
+
+
+def word_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.words_query(documents(spark, sf_dir))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(documents(spark, sf_dir))
 
@@ -66,9 +78,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
     "quality_ablations": quality_ablations,
+    "licence_base": licence_base,
+    "mixing_targets": mixing_targets,
+    "word_rollup": word_rollup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_embedding_near_dedup": vectors.ORACLE,
+    "licence_base": licences.BASE_ORACLE,
+    "mixing_targets": mixing.TARGETS_ORACLE,
+    "word_rollup": token_counts.WORDS_ORACLE,
     "op6_line_dedup": lines.ORACLE,
     "op9_quality_rules": quality.ORACLE,
     "quality_ablations": quality.ABLATION_ORACLE,

@@ -278,3 +278,19 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 def query(vectors: DataFrame) -> DataFrame:
     """Digest columns of op5."""
     return near_vectors(vectors)
+
+
+ORACLE = f"""
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER () AS i, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+fine AS (
+  SELECT i, vec_id, e FROM rows WHERE e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.i, b.i AS j FROM fine a, fine b WHERE a.i <> b.i AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {COSINE}),
+reach AS (SELECT i, i AS j FROM rows UNION SELECT r.i, l.j FROM reach r JOIN links l ON r.j = l.i),
+least AS (SELECT r.i, min(v.vec_id) AS component_id FROM reach r JOIN rows v ON v.i = r.j GROUP BY r.i)
+SELECT vec_id, (SELECT count(*) FROM links l WHERE l.i = v.i) AS n_links, coalesce(component_id, vec_id) AS component_id,
+  vec_id IS NOT DISTINCT FROM coalesce(component_id, vec_id) AS kept
+FROM rows v JOIN least USING (i)
+"""

@@ -80,3 +80,31 @@ def test_weak_match_before_a_better_one_is_kept(scanner):
     weak, exact = "relesed under the mit license", "released under the mit license"
     got = [(word, errors) for label, word, _, errors in scanner.scan(f"{weak} {weak} {exact}")[3] if label == "mit"]
     assert got == [(0, 1), (5, 1), (10, 0)]
+
+
+def test_near_variants_of_the_base_phrases(scanner):
+    for text, label in (("distributed undr the MIT license", "mit"), ("Apache Licence, Version 2.0", "apache-2"), ("see cc b nc", "cc-by-nc")):
+        assert label in {s[0] for s in scanner.scan(text)[3]}, text
+
+
+def test_an_earlier_match_is_in_the_window_of_a_later_seed():
+    """Seeds of a piece that stands late in a notice may open a window before the last one's."""
+    scan = licences.Scanner((licences.Notice("x", "abcd efgh ijkl mnop", 4),))
+    text = b" abcd efgh ijkl zabcd efgh ijkl mnop "
+    assert [(s[1], s[3]) for s in scan.near(text)][-1][1] <= 4
+    assert any(s[1] + s[2] == 7 for s in scan.near(text))
+
+
+def test_base_oracle_says_the_same(spark):
+    import duckdb
+
+    draw = random.Random(4)
+    pool = ["Under", "the", "MIT", "license", "apache", "version", "2", "cc", "by", "nc", "é"]
+    rows = [(1, None), (2, ""), (3, "cc by nc by nc cc by nc"), (3, "under the mit license under the MIT license")]
+    rows += [(10 + i, " ".join(draw.choices(pool, k=60))) for i in range(200)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    got = licences.base_query(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.sql(licences.BASE_ORACLE).fetchall(), key=str)
+    assert all(tuple(r)[1:] == slow(dict([(r.doc_id, t) for d, t in rows if d == r.doc_id][-1:])[r.doc_id]) for r in got if r.doc_id >= 10)

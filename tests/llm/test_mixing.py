@@ -70,3 +70,15 @@ def test_query(spark):
     for r in got:
         total[r.doc_id] = total.get(r.doc_id, 0) + r.taken
     assert {d: n for d, n in total.items() if n} == words
+
+
+def test_targets_oracle_says_the_same(spark):
+    import duckdb
+
+    rows = [(i, f"s{i % 7}" if i % 9 else None, "w " * (i * i % 400)) for i in range(200)] + [(900, "s9", None), (901, "s8", "x " * 9000)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, source varchar, text varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", rows)
+    got = mixing.source_targets(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    want = {s: (n, t) for s, n, t in con.sql(mixing.TARGETS_ORACLE).fetchall()}
+    assert {r.source: (r.source_size, r.target) for r in got} == want

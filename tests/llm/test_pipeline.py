@@ -90,3 +90,33 @@ def test_run_is_its_stages(spark, stages):
     sf, out = stages
     got = corpus_pipeline.run(spark, sf)
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in got.collect()) == Counter((r.doc_id, r.piece, r.ids_crc32) for r in out[-1][2])
+
+
+def test_edge_rows_and_tables(spark, tmp_path):
+    """Repeated and null ids, null and empty texts, ties, a column more and columns fewer, no rows."""
+    draw = random.Random(3)
+    text = lambda: " ".join(draw.choice("abcdefghijklmnop") + str(draw.randrange(200)) for _ in range(80))
+    one, two, *rest = (text() for _ in range(6))
+    data = [(1, one), (1, one), (1, two), (None, one), (None, None), (2, ""), (3, None), *((None, t) for t in rest)]
+    df = spark.createDataFrame([(d, t, 1, "k") for d, t in data], "doc_id long, text string, row_id int, label string")
+    kept = corpus_pipeline.quality_rules(spark, df, "")
+    assert kept.columns == list(corpus_pipeline.COLUMNS) and sorted((r.doc_id, r.text) for r in kept.filter("doc_id is not null").collect()) == sorted([(1, one), (1, one), (1, two)])
+    assert kept.count() == 8
+    assert corpus_pipeline.line_dedup(spark, df, "").count() == len(data)
+    near = corpus_pipeline.near_dedup(spark, kept, "")
+    assert sorted((str(r.doc_id), r.text) for r in near.collect()) == sorted([("1", one), ("1", two), *(("None", t) for t in rest)])
+    assert all(r.source is None and r.n_chars == len(r.text) for r in near.collect())
+    df.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    df.write.parquet(str(tmp_path / "more" / "documents.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path / "more")).collect()
+    assert packed and {r.doc_id for r in packed} <= {1, None}
+
+
+def test_line_stage_at_real_size(spark):
+    """The compacted runs of a whole table: the stage drops what brute force drops."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    data = [(r.doc_id, r.text) for r in docs.collect()]
+    count = Counter(k for _, t in data for k in {test_lines.key(x) for x in t.split("\n")})
+    want = [(d, "\n".join(x for x in t.split("\n") if not test_lines.key(x) or count[test_lines.key(x)] < 10)) for d, t in data]
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()) == sorted(want)

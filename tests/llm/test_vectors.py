@@ -50,3 +50,13 @@ def test_query_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(vectors, "CELL", cell)
         assert sorted(map(tuple, vectors.query(df).collect()), key=str) == slow(data)
     assert vectors.query(df.limit(0)).count() == 0
+
+
+def test_oracle_says_the_same(spark):
+    import duckdb
+
+    data = [(d, v) for d, v in rows() if v is None or len(v) != 16 or all(c is not None for c in v)]
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding float[])")
+    con.executemany("insert into embeddings values (?, ?)", data)
+    assert sorted(con.sql(vectors.ORACLE).fetchall(), key=str) == slow(data)
