@@ -516,6 +516,17 @@ def html_links(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", F.size("links").alias("links"), "container", F.length("text").alias("chars"))
 
 
+_LESS = "html"
+for _tag in ("script", "style", "noscript", "template", "nav", "footer", "header", "aside", "form", "button", "svg", "iframe"):
+    _LESS = f"regexp_replace({_LESS}, '(?is)<{_tag}[ >].*?</{_tag}>', '', 'g')"
+
+
+@query(f"SELECT page_id, len(regexp_extract_all({_LESS}, '(?i)<a [^>]*href=\"[^\"]'))::BIGINT AS links FROM pages")
+def html_link_counts(spark, sf_dir):
+    """Links of a page outside its navigation and the like."""
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", F.size("links").cast("long").alias("links"))
+
+
 @query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
 def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
