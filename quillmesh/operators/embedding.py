@@ -142,3 +142,9 @@ def answer(df: DataFrame, model: Callable[[str], str], prompt: str = "prompt") -
         return pd.DataFrame(rows, columns=["answer", "latency_ms"], index=s.index)
 
     return df.withColumn("_answer", run(prompt)).select("*", "_answer.answer", "_answer.latency_ms").drop("_answer")
+
+
+def remaining(done: int, total: int, seconds: float) -> tuple[float, float | None]:
+    """Rows a second so far, and the seconds that the rest will take; unknown before the first row."""
+    rate = done / seconds if seconds > 0 else 0.0
+    return rate, (total - done) / rate if rate else None

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.functions import refs, text, urls
+from quillmesh.functions import privacy, refs, text, urls
 from quillmesh.functions import vectors as vec
-from quillmesh.operators import answering, build, corpus, frontier, html, retrieval, selection, study, validation
+from quillmesh.operators import answering, build, chunking, corpus, frontier, html, retrieval, selection, study, validation
 from quillmesh.plans.queries import _n, query, table
 
 #: Chunk columns over lineitem, in SQL that both engines read.
@@ -523,3 +523,100 @@ def markup_removal(spark, sf_dir):
     )
     markdown = F.concat(F.lit("### "), name, F.lit(" <!-- no -->and [[word]]"))
     return table(spark, sf_dir, "part").select("p_partkey", text.strip_markers(scripture).alias("scripture"), text.strip_markdown(markdown).alias("markdown"))
+
+
+_PERMISSION = """CASE p_partkey % 8 WHEN 0 THEN 'Letter of 3 May' WHEN 1 THEN ' Pending ' WHEN 2 THEN 'not yet granted' WHEN 3 THEN 'approved; TBD later' WHEN 4 THEN 'Written permission required from all'
+ WHEN 5 THEN NULL WHEN 6 THEN 'granted  by mail' ELSE 'appending is fine' END"""
+
+
+@query("SELECT p_partkey, p_partkey % 8 IN (0, 6, 7) AS permitted, p_size > 10 AND p_size < 40 AS consented FROM part")
+def permission_gate(spark, sf_dir):
+    agreed = privacy.consented(F.col("p_size") > 10, F.when(F.col("p_size") < 40, True))
+    return table(spark, sf_dir, "part").select("p_partkey", privacy.permitted(F.expr(_PERMISSION)).alias("permitted"), agreed.alias("consented"))
+
+
+@query("""SELECT s_suppkey, n_name AS source_name, coalesce(s_suppkey % 3 = 0 AND n_regionkey = 1, false) AS eligible FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def source_projection(spark, sf_dir):
+    """Rows with the columns of their source, and the gate that compares their policy with the source's."""
+    nation = table(spark, sf_dir, "nation")
+    dim = nation.select(F.col("n_nationkey").cast("string").alias("source_id"), F.col("n_name").alias("source_name"))
+    policy = nation.select(F.col("n_nationkey").cast("string").alias("source_id"), F.col("n_regionkey").alias("region"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    named = build.project(rows, F.col("s_nationkey").cast("string"), dim)
+    flagged = named.withColumn("index_eligible", F.when(F.col("s_suppkey") % 3 == 0, True).when(F.col("s_suppkey") % 3 == 1, False)).withColumn("region", F.lit(1))
+    passed = corpus.eligible(flagged, policy, ["region"]).select("s_suppkey", F.lit(True).alias("passed"))
+    return named.join(passed, "s_suppkey", "left").select("s_suppkey", "source_name", F.coalesce("passed", F.lit(False)).alias("eligible"))
+
+
+@query("""SELECT p_size AS k, count(*) AS count FROM part WHERE p_size > 25 GROUP BY 1""")
+def unmatched_keys(spark, sf_dir):
+    known = spark.range(26).select(F.col("id").cast("int").alias("k"))
+    return corpus.unmatched(table(spark, sf_dir, "part").select(F.col("p_size").alias("k")), known, "k")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 3 = 0 THEN 'own' ELSE 'none' END AS note FROM customer""")
+def overrides_and_defaults(spark, sf_dir):
+    """Core columns that a record's own map replaces, also by null; curated columns with defaults."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    extra = F.when(F.col("c_custkey") % 2 == 0, F.create_map(F.lit("segment"), F.lit(None).cast("string"))).otherwise(F.create_map(F.lit("other"), F.lit("x")))
+    replaced = corpus.override(rows.withColumn("extra", extra), "extra", ["segment"]).drop("extra")
+    curated = rows.filter("c_custkey % 3 = 0").select("c_custkey", F.lit("own").alias("note"))
+    return frontier.with_defaults(replaced, curated, "c_custkey", {"note": "none"}).select("c_custkey", "segment", "note")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Answer ' || o_custkey WHEN 1 THEN 'a' || o_custkey || 'b' END AS answer FROM orders""")
+def response_texts(spark, sf_dir):
+    """The text of an API response: of the first candidate, its parts joined."""
+    body = F.expr("""CASE o_orderkey % 4 WHEN 0 THEN concat('{"candidates": [{"content": {"parts": [{"text": "Answer ', o_custkey, '"}]}}, {"content": {"parts": [{"text": "x"}]}}]}')
+     WHEN 1 THEN concat('{"candidates": [{"content": {"parts": [{"text": "a', o_custkey, '"}, {"text": "b"}]}}]}') WHEN 2 THEN '{"candidates": []}' ELSE 'no json' END""")
+    return table(spark, sf_dir, "orders").select("o_orderkey", answering.response_text(body).alias("answer"))
+
+
+@query(r"""SELECT 'b' || p_partkey % 5 AS file, (p_partkey // 5 + 1)::INTEGER AS chapter, v::INTEGER AS verse_start, (v + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END)::INTEGER AS verse_end, p_name || ' goes on' AS text
+FROM part, (VALUES (1), (3)) t(v)""")
+def scripture_verses(spark, sf_dir):
+    """Marked-up lines to verses: chapter markers set the state, plain lines go on with a verse."""
+    verse = lambda v: F.concat(F.lit(rf"\v {v}"), F.when(F.col("p_partkey") % 2 == 0, f"-{v + 1}").otherwise(""), F.lit(r" \w "), "p_name", F.lit(r"|x\w*"))
+    lines = F.array(F.concat(F.lit(r"\c "), (F.floor(F.col("p_partkey") / 5) + 1).cast("string")), F.lit(r"\h head"), verse(1), F.lit("goes on"), verse(3), F.lit(r"\q1 goes on"))
+    spread = table(spark, sf_dir, "part").select(F.concat(F.lit("b"), F.col("p_partkey") % 5).alias("file"), "p_partkey", F.posexplode(lines).alias("i", "value"))
+    return corpus.verses_from_lines(spread.select("file", (F.col("p_partkey") * 10 + F.col("i")).alias("pos"), "value"))
+
+
+@query("""SELECT 'V.' || l_suppkey AS source, 'V.' || l_partkey AS target, l_quantity::INTEGER AS votes FROM lineitem WHERE l_linenumber <= 2""")
+def edge_lines(spark, sf_dir):
+    """An edge list as text: columns apart by any white space; header, blank lines and remarks are skipped."""
+    value = F.expr(r"CASE WHEN l_linenumber <= 2 THEN concat(' V.', l_suppkey, '\t', 'V.', l_partkey, '   ', int(l_quantity), ' x') WHEN l_linenumber = 3 THEN '# remark' WHEN l_linenumber = 4 THEN 'From Verse\tTo Verse\tVotes' ELSE '  ' END")
+    return corpus.edges_from_lines(table(spark, sf_dir, "lineitem").select(value.alias("value")))
+
+
+@query("""WITH b AS (SELECT conv_id, turn, role, text, last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS heading FROM conversations)
+SELECT conv_id, turn, md5(heading) AS heading FROM b WHERE role <> 'system'""")
+def active_headings(spark, sf_dir):
+    kind = F.when(F.col("role") == "system", "heading").otherwise("paragraph")
+    blocks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("pos"), kind.alias("type"), "text")
+    return chunking.with_headings(blocks).select(F.col("page_id").alias("conv_id"), F.col("pos").alias("turn"), F.md5("heading").alias("heading"))
+
+
+@query("""SELECT 'invalid_json' AS "check", count_if(event_id % 50 = 0)::BIGINT AS violations FROM events UNION ALL SELECT 'missing_keys', count_if(event_id % 50 <> 0 AND event_id % 7 = 0)::BIGINT FROM events""")
+def json_line_report(spark, sf_dir):
+    raw = F.expr("CASE WHEN event_id % 50 = 0 THEN '{broken' WHEN event_id % 7 = 0 THEN '{\"id\": null}' ELSE '{\"id\": 1, \"text\": null}' END")
+    lines = table(spark, sf_dir, "events").select(F.col("event_id").alias("line"), raw.alias("raw"), (F.col("event_id") % 50 == 0).alias("bad"))
+    return validation.line_report(lines, ["id", "text"]).select("check", "violations")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'x hashed-y' WHEN 1 THEN p_name || ' & co' ELSE 'a b' END AS crawled, p_name || chr(10) || 'next' AS lines, 'A ' || p_name || chr(10) || '& B' AS plain,
+ CASE p_partkey % 4 WHEN 0 THEN 'gospel' WHEN 1 THEN 'law,gospel' ELSE '' END AS terms, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS people, 'Good answer.' AS answer, p_name AS message, p_name || ' key' AS heading,
+ 'tag' || p_size AS as_list FROM part""")
+def web_text_functions(spark, sf_dir):
+    name, key = F.col("p_name"), F.col("p_partkey")
+    crawled = F.when(key % 3 == 0, "x\u00a0 hash\u00aded-\u200by ").when(key % 3 == 1, F.concat(name, F.lit("\n&\tco"))).otherwise("\u200b a  b")
+    told = F.when(key % 4 == 0, "The Gospel, not lawful").when(key % 4 == 1, "LAW and gospel").otherwise("none")
+    people = F.when(key % 2 == 0, F.concat(F.lit("x Contributors:  "), name, F.lit(" Adopted by all"))).otherwise("Contributors unknown")
+    answer = F.when(key % 2 == 0, "Good answer.\n\n*(Note: by SOURCE_CONTEXT)*").otherwise("Good answer.\n\n* Note: the SOURCE_CONTEXT has no citation\n\n")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", text.normalise_crawled(crawled).alias("crawled"), text.normalise_lines(F.concat(F.lit("\r\n  "), name, F.lit("\r\r next "))).alias("lines"),
+        text.plain_html(F.concat(F.lit("<p>A <b>"), name, F.lit("</b><BR/>&amp; B</p>"))).alias("plain"),
+        F.array_join(text.detect_terms(told, {"law": ("law", "torah"), "gospel": ("gospel",)}), ",").alias("terms"), text.contributors(people, ("Adopted by",)).alias("people"),
+        text.clean_answer(answer).alias("answer"), text.safe_message(F.concat(F.lit(" "), name, F.lit("\n"))).alias("message"),
+        text.markdown_title(F.concat(F.lit("text\n# "), name, F.lit("  key \nmore")), F.lit("none")).alias("heading"), F.array_join(text.as_list(F.concat(F.lit("tag"), "p_size")), ",").alias("as_list"),
+    )

@@ -402,14 +402,16 @@ def _turns(spark, sf_dir) -> DataFrame:
     reply = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return c.filter("role = 'user'").join(reply, ["conv_id", "turn"], "left").select(
         F.col("conv_id").alias("player_id"), F.col("turn").alias("turn_index"), F.col("text").alias("question"), "answer",
-        F.when(F.col("answer").isNull(), "error").otherwise("ok").alias("status"), F.lit("not json").alias("sources_json"),
+        F.when(F.col("answer").isNull(), "error").otherwise("ok").alias("status"),
+        F.expr('''CASE conv_id % 3 WHEN 0 THEN 'not json' WHEN 1 THEN concat('[{"rank": 1, "title": "t', turn, '", "text": "hidden"}]') END''').alias("sources_json"),
     )
 
 
-@query(f"""WITH {_TURNS} SELECT player_id, turn_index, 0 AS seq, 'user' AS sender, question AS text, 0 AS sources FROM turns WHERE status = 'ok'
- UNION ALL SELECT player_id, turn_index, 1, 'assistant', answer, 0 FROM turns WHERE status = 'ok'""")
+@query(f"""WITH {_TURNS} SELECT player_id, turn_index, 0 AS seq, 'user' AS sender, question AS text, '[]' AS sources FROM turns WHERE status = 'ok'
+ UNION ALL SELECT player_id, turn_index, 1, 'assistant', answer, CASE WHEN player_id % 3 = 1 THEN '[{{"rank":"1","title":"t' || turn_index || '"}}]' ELSE '[]' END FROM turns WHERE status = 'ok'""")
 def user_history(spark, sf_dir):
-    return study.public_history(_turns(spark, sf_dir)).withColumn("sources", F.size("sources"))
+    """Sources are shown without what is not public; a third of the turns has some, a third has text that is no JSON."""
+    return study.public_history(_turns(spark, sf_dir)).withColumn("sources", F.to_json("sources"))
 
 
 @query(f"""WITH {_TURNS} SELECT player_id, turn_index, 0 AS seq, 'user' AS role, question AS text FROM turns WHERE status = 'ok' AND answer <> ''
@@ -457,12 +459,16 @@ def progress_percent(spark, sf_dir):
     return steps.select("round_no", F.col("s").cast("long").alias("step"), study.progress_percent(F.col("round_no"), F.col("s")).alias("percent"))
 
 
-@query("""WITH c AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS picked FROM part)
-SELECT p_partkey, concat_ws(',', CASE WHEN len(list_filter(picked, lambda x: NOT list_contains(['small', 'red', 'blue', 'ring', 'bolt', 'widget', 'no_preference'], x))) > 0 THEN 'unknown' END) AS errors FROM c""")
+_CHOSEN = """CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'small,odd' WHEN 2 THEN 'no_preference,red' WHEN 3 THEN 'other,red' WHEN 4 THEN 'other' WHEN 5 THEN 'red,blue,red' ELSE 'no_preference' END"""
+_OTHER = """CASE WHEN p_partkey % 7 = 3 THEN ' ' WHEN p_partkey % 2 = 0 THEN 'write to me@example.org' WHEN p_partkey % 3 = 0 THEN NULL ELSE 'it was fine' END"""
+
+
+@query(f"""SELECT p_partkey, concat_ws(',', CASE p_partkey % 7 WHEN 0 THEN 'empty' WHEN 1 THEN 'unknown' WHEN 2 THEN 'exclusive' END,
+ CASE WHEN p_partkey % 7 IN (3, 4) AND trim(coalesce({_OTHER}, '')) = '' THEN 'other_blank' END, CASE WHEN {_OTHER} LIKE '%@%' THEN 'identifying' END) AS errors FROM part""")
 def multiselect_validate(spark, sf_dir):
-    allowed = ["small", "red", "blue", "ring", "bolt", "widget", "no_preference"]
-    chosen = F.replace("p_name", F.lit(" "), F.lit(","))
-    errors = privacy.multiselect_errors(chosen, allowed, F.lit(None).cast("string"))
+    """Choices of each kind of error, and good ones."""
+    allowed = ["small", "red", "blue", "other", "no_preference"]
+    errors = privacy.multiselect_errors(F.expr(_CHOSEN), allowed, F.expr(_OTHER))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(errors, ",").alias("errors"))
 
 
@@ -529,7 +535,7 @@ def html_link_counts(spark, sf_dir):
 
 @query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
 def json_props(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", text.json_field(F.col("props"), "k", "long").alias("k"))
 
 
 @query(r"""WITH d AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(w[i:i + 7], ' ') AS g FROM (

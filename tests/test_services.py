@@ -174,3 +174,46 @@ def test_settings():
     with pytest.raises(ValueError, match="KEY is missing"):
         settings.required({"KEY": " "}, "KEY")
     assert settings.required({"KEY": " v "}, "KEY") == "v"
+
+
+def test_remaining_time():
+    assert embedding.remaining(0, 10, 1.0) == (0.0, None)
+    assert embedding.remaining(5, 20, 2.5) == (2.0, 7.5)
+
+
+def test_zip_header_and_malformed_xml(spark, tmp_path):
+    import io
+    import zipfile
+
+    from quillmesh.sources import readers, writers
+
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("x.txt", "From Verse\tTo")
+    df = spark.createDataFrame([("a", bytearray(raw.getvalue()))], "path string, content binary")
+    assert readers.zip_member(df, ".txt", header=b"From Verse").first().error is None
+    assert readers.zip_member(df, ".txt", header=b"Other").first().error == "unexpected_header"
+    (tmp_path / "good.xml").write_text("<a><b/></a>")
+    (tmp_path / "bad.xml").write_text("<a><b></a>")
+    assert [r.file.rsplit("/", 1)[1] for r in readers.malformed_xml(spark, str(tmp_path)).collect()] == ["bad.xml"]
+    one, two = spark.range(1), spark.range(2)
+    path = str(tmp_path / "snap")
+    assert writers.keep_existing(one, path) and not writers.keep_existing(two, path) and spark.read.parquet(path).count() == 1
+    assert writers.keep_existing(two, path, force=True) and spark.read.parquet(path).count() == 2
+    assert writers.output_path("/o/x/", True) == "/o/x_smoke" and writers.output_path("/o/x") == "/o/x"
+    writers.report({"sources": two, "totals": one}, str(tmp_path / "rep"))
+    assert len(spark.read.json(str(tmp_path / "rep")).first().sources) == 2
+    assert [p.name for p in tmp_path.iterdir() if "old-" in p.name or "staged-" in p.name] == []
+
+
+def test_manifest_row_and_book_columns(spark):
+    from quillmesh.operators import study, validation
+
+    manifest = spark.createDataFrame([("A", "CC BY 4.0", "AB")], "source_id string, license string, file_hash string")
+    problems = lambda *x: sorted(r.problem for r in validation.source_row_problems(manifest, *x).collect())
+    assert problems("A", "CC BY 4.0", "ab") == [] and problems("B", "x", "y") == ["no_row"]
+    assert problems("A", "other", "cd") == ["hash_differs", "unexpected_licence"]
+    people = spark.createDataFrame([("a", "name")], "response_code string, label string")
+    assert study.scrubbed(people, "label", "none").first().label == ""
+    with pytest.raises(ValueError):
+        study.chat_turns(people, people, people, {"chat_model": "x"})
