@@ -21,12 +21,26 @@ IDENTIFIERS = (
 )
 
 
+#: What a text must hold for a pattern to match, lower-cased and without letters that other letters equal when case is
+#: ignored (s and k): most texts hold none, and are spared the pattern.
+NEEDED = {"email": ("@",), "web_address": ("http", "www."), "handle": ("@",), "introduction": ("name", "called", "mail", "phone", "addre", "contact")}
+
+
 def identifier_kind(c: Column) -> Column:
     """Kind of the first identifying pattern found, null if there is none."""
     text = F.coalesce(c, F.lit(""))
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(IDENTIFIERS):
-        out = F.when(text.rlike(pattern), F.lit(kind)).otherwise(out)
+        found = text.rlike(pattern)
+        if kind in NEEDED:
+            low = text if NEEDED[kind] == ("@",) else F.lower(text)
+            needed = low.contains(NEEDED[kind][0])
+            for word in NEEDED[kind][1:]:
+                needed = needed | low.contains(word)
+            found = needed & found
+        else:
+            found = text.rlike(r"\p{Nd}") & found
+        out = F.when(found, F.lit(kind)).otherwise(out)
     return out
 
 

@@ -64,8 +64,9 @@ def pieces(text: str, limit: int = MAX_CHARS, lossy: bool = False) -> list[str]:
 
 
 def split_text(c: Column, limit: int | Column = MAX_CHARS, lossy: bool = False) -> Column:
-    """Array of pieces of a text column, each at most ``limit`` long, which may be a column; null gives none. Only texts
-    that are too long are sent to Python."""
+    """Array of pieces of a column of normalised texts, each at most ``limit`` long, which may be a column; null gives
+    none. Only texts that are too long are sent to Python. ``c`` is named several times: it should be a column and no
+    long expression."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -73,22 +74,23 @@ def split_text(c: Column, limit: int | Column = MAX_CHARS, lossy: bool = False)
             cut = [pieces(t, n, lossy) if t is not None else [] for t, n in zip(texts, limits, strict=True)]
             yield pd.Series(cut, index=texts.index)
 
-    text, most = normalise(c), limit if isinstance(limit, Column) else F.lit(limit)
-    fits = F.length(text) <= most
-    whole = F.filter(F.array(text), lambda t: t != "")
-    return F.when(fits, whole).otherwise(run(F.when(~fits, text), most))
+    most = limit if isinstance(limit, Column) else F.lit(limit)
+    fits = F.length(c) <= most
+    whole = F.filter(F.array(c), lambda t: t != "")
+    return F.when(fits, whole).otherwise(run(F.when(~fits, c), most))
 
 
 def chunk(df: DataFrame, id_col: str, text_col: str, limit: int = MAX_CHARS, lossy: bool = False) -> DataFrame:
     """One row for each piece, with ``piece``, ``pieces`` and ``chunk_id``: the id, with _NN if there are several."""
-    out = df.withColumn("_pieces", split_text(F.col(text_col), limit, lossy))
-    out = out.select("*", F.size("_pieces").alias("pieces"), F.posexplode("_pieces").alias("_pos", "_piece"))
+    out = df.withColumn("_text", normalise(F.col(text_col))).withColumn("_pieces", split_text(F.col("_text"), limit, lossy))
+    # An outer explode: for an inner one a filter on the pieces is inferred and pushed below, where they are made again.
+    out = out.select("*", F.size("_pieces").alias("pieces"), F.posexplode_outer("_pieces").alias("_pos", "_piece")).filter("_pos IS NOT NULL")
     suffix = F.when(F.col("pieces") > 1, F.format_string("_%02d", F.col("_pos") + 1)).otherwise("")
     return (
         out.withColumn("piece", F.col("_pos") + 1)
         .withColumn("chunk_id", F.concat(F.col(id_col).cast("string"), suffix))
         .withColumn(text_col, F.col("_piece"))
-        .drop("_pieces", "_pos", "_piece")
+        .drop("_text", "_pieces", "_pos", "_piece")
     )
 
 
@@ -138,7 +140,7 @@ def body_pieces(blocks: DataFrame, reference_pattern: str, limit: int = MAX_CHAR
         page,
         "pos",
         "limit",
-        F.concat(section, text).alias("text"),
+        normalise(F.concat(section, text)).alias("text"),
         F.when(is_row & (F.size(cells) >= 2), F.size(cells) - 1).otherwise(0).alias("cells"),
     ).withColumn("items", split_text(F.col("text"), F.col("limit")))
     lone = clean.filter(F.lower("type") == "heading").filter(F.col("text") != "").groupBy(page).agg(
@@ -165,6 +167,5 @@ def body_pieces(blocks: DataFrame, reference_pattern: str, limit: int = MAX_CHAR
         page, F.array(F.concat(F.lit("Section: "), F.col("last_heading"))).alias("items"), F.lit(0).cast("long").alias("cells_removed"), "limit"
     )
     out = whole.unionByName(only).join(counted, page).select(page, "quotes_removed", "cells_removed", packed("items", "limit").alias("_p"))
-    return out.select(page, "quotes_removed", "cells_removed", F.posexplode("_p").alias("_i", "text")).withColumn(
-        "piece_no", F.col("_i") + 1
-    ).drop("_i")
+    spread = out.select(page, "quotes_removed", "cells_removed", F.posexplode_outer("_p").alias("_i", "text")).filter("_i IS NOT NULL")
+    return spread.withColumn("piece_no", F.col("_i") + 1).drop("_i")

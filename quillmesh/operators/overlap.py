@@ -22,9 +22,11 @@ def _window(w: Column, i: Column, size: int) -> Column:
 
 def _windows(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
     """``(id, i, h)``: place and hash of each run of words; no text is carried."""
-    split = df.select(id_col, _words(F.col(text)).alias("w")).filter(F.size("w") >= size)
+    # No filter on the number of words: it would be pushed below and the text split twice.
+    split = df.select(id_col, _words(F.col(text)).alias("w"))
     words = lambda i: [F.get("w", i + k) for k in range(size)]
-    hashed = F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: F.struct(i.alias("i"), F.xxhash64(*words(i)).alias("h")))
+    starts = F.when(F.size("w") >= size, F.sequence(F.lit(0), F.size("w") - size)).otherwise(F.array().cast("array<int>"))
+    hashed = F.transform(starts, lambda i: F.struct(i.alias("i"), F.xxhash64(*words(i)).alias("h")))
     return split.select(id_col, F.explode(hashed).alias("x")).select(id_col, "x.i", "x.h")
 
 
@@ -38,8 +40,10 @@ def shared_runs(texts: DataFrame, items: DataFrame, text_id: str, item_id: str,
     hits = _windows(texts, text_id, text, size).join(few, "h", "left_semi")
 
     def read(df: DataFrame, places: DataFrame, key: str) -> DataFrame:
-        words = df.select(key, _words(F.col(text)).alias("w"))
-        return words.join(places, key).select(key, _window(F.col("w"), F.col("i"), size).alias("run")).distinct()
+        """The words at the places of each text, which is split once."""
+        of_text = places.groupBy(key).agg(F.collect_list("i").alias("at"))
+        split = df.select(key, text).join(of_text, key).select(key, "at", _words(F.col(text)).alias("w"))
+        return split.select(key, F.explode(F.transform("at", lambda i: _window(F.col("w"), i, size))).alias("run")).distinct()
 
     found = read(texts, hits.select(text_id, "i"), text_id)
     return found.join(lookup_side(read(items, small.select(item_id, "i"), item_id), WINDOW_ROWS), "run").groupBy(item_id, text_id).agg(F.count(F.lit(1)).alias("shared"))
