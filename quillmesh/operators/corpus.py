@@ -9,6 +9,8 @@ from quillmesh.functions.text import normalise, normalise_page, strip_markers
 
 #: A lookup side is broadcast up to this many rows; beyond it the join shuffles.
 LOOKUP_ROWS = 100_000
+#: Parts that a group's labels are ranked in first.
+LIST_PARTS = 32
 
 
 def lookup_side(dim: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
@@ -109,8 +111,18 @@ def verse_texts(chunks: DataFrame) -> DataFrame:
     return spread.groupBy("book", "chapter", "verse").agg(F.max_by("text", "chunk_id").alias("text"))
 
 
-def ranked_list(df: DataFrame, group: list[str], score: str, label: str, joint: str = "; ") -> DataFrame:
-    """Per group: labels ranked by score descending, then label, joined; with count and highest score."""
+def ranked_list(df: DataFrame, group: list[str], score: str, label: str, joint: str = "; ", most: int | None = None) -> DataFrame:
+    """Per group: labels ranked by score descending, then label, joined; with count and highest score of all.
+
+    With ``most`` only the best labels are listed, and a group of any size is cut in LIST_PARTS parts before it is put
+    together; without it a group's labels have to fit in one row, as the result does."""
+    best = [F.desc(score), F.asc(label)]
+    if most is not None:
+        part = F.pmod(F.xxhash64(label), F.lit(LIST_PARTS))
+        inside = df.select(*group, score, label, part.alias("_p")).withColumn("_n", F.row_number().over(Window.partitionBy(*group, "_p").orderBy(*best)))
+        few = inside.filter(F.col("_n") <= most).withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*best)))
+        totals = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.max(score).alias("highest"))
+        return ranked_list(few.filter(F.col("_n") <= most), group, score, label, joint).drop("n", "highest").join(totals, group)
     ranked = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(label).alias("l"))))
     return df.groupBy(*group).agg(
         F.array_join(F.transform(ranked, lambda x: x["l"]), joint).alias("labels"),

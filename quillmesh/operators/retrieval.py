@@ -161,6 +161,11 @@ EVIDENCE = (("Title", "title"), ("Source", "source_name"), ("Biblical reference"
 RETRIEVED = "rank int, score double, chunk_id string, source_id string, source_name string, title string, url string, license string, reference string, text string"
 
 
+def query_text(reference: str, question: str) -> str:
+    """What is embedded for a question about a passage."""
+    return QUERY_TEXT.format(reference=reference, question=question)
+
+
 def retrieve(index: DataFrame, passage: tuple[str, int, int, int], query: list[float], k: int = TOP_K, cap: int = PER_SOURCE) -> DataFrame:
     """RETRIEVED rows of an index of chunks for a query about ``passage`` (book, chapter, first and last verse): the
     scope first, then scores, at most ``cap`` of a source. Raises if no chunk may serve the passage."""

@@ -348,6 +348,14 @@ def ranked_group_list(spark, sf_dir):
     return corpus.ranked_list(lines, ["l_partkey"], "l_extendedprice", "label")
 
 
+@query("""SELECT l_returnflag, string_agg(label, '; ' ORDER BY l_extendedprice DESC, label) FILTER (k <= 20) AS labels, count(*) AS n, max(l_extendedprice) AS highest
+ FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, label) AS k FROM (SELECT *, l_orderkey || '.' || l_linenumber || '.' || l_partkey AS label FROM lineitem)) GROUP BY l_returnflag""")
+def ranked_group_heads(spark, sf_dir):
+    """The best twenty labels of groups that hold a third of the table each."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("label", F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey"))
+    return corpus.ranked_list(lines, ["l_returnflag"], "l_extendedprice", "label", most=20)
+
+
 @query("""SELECT o_custkey, o_orderkey AS first_order, round(o_totalprice, 2) AS price FROM (
  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1""")
 def first_per_group(spark, sf_dir):

@@ -217,3 +217,9 @@ def test_manifest_row_and_book_columns(spark):
     assert study.scrubbed(people, "label", "none").first().label == ""
     with pytest.raises(ValueError):
         study.chat_turns(people, people, people, {"chat_model": "x"})
+
+
+def test_text_that_is_searched():
+    from quillmesh.operators import retrieval
+
+    assert retrieval.query_text("Ruth 1:1", "Who?") == "Biblical passage: Ruth 1:1\nBible-study question: Who?"
