@@ -4,7 +4,7 @@ A pair within ``radius`` bits of 64 differs in at most ``radius // 3`` bits of o
 vantage-point tree per band halves the space by the Hamming distance to a vantage point. A fingerprint
 goes to the side its distance says and, when it lies outside by no more than the band radius, to the inside
 too: by the triangle inequality no linked pair is then kept apart, and no other branch has to be visited.
-Every leaf is a shard; shards find their exact pairs on the whole 64 bits independently.
+Every leaf is a shard, a full one several; shards find their exact pairs on the whole 64 bits independently.
 
 A dense group (thousands of near copies) cannot be split by any metric partition. Centres of such groups are
 found on a bounded sample; fingerprints linked to a centre leave the shards and are joined as one star, and
@@ -118,16 +118,49 @@ class VantageTree:
 
 
 class Forest:
-    """The three trees of a fingerprint set."""
+    """The three trees of a fingerprint set.
 
-    def __init__(self, sample: np.ndarray, n: int, radius: int = RADIUS, leaf: int = LEAF):
+    Leaves that the sample shows to be full (or all, where leaves are too large for the sample to tell) are dealt to
+    several shards: the 64 bits are put in radius + 1 groups, and a point goes to the shard of its bits in each. Linked
+    points differ in at most radius bits and so agree in a group."""
+
+    def __init__(self, sample: np.ndarray, n: int, radius: int = RADIUS, leaf: int = LEAF, full: int = FULL):
         self.depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(1, n) / leaf)))))
         self.trees = [
             VantageTree((sample >> np.uint64(s)) & np.uint64(2**b - 1), b, self.depth, radius // len(BANDS))
             for s, b in BANDS
         ]
+        # A band's own bits, which hardly vary in its leaves, are dealt last.
+        own = [np.arange(s, s + b) for s, b in BANDS]
+        self.groups = []
+        for i in range(len(BANDS)):
+            bits = np.concatenate([*(b for k, b in enumerate(own) if k != i), own[i]])
+            self.groups.append([bits[g :: radius + 1] for g in range(radius + 1)])
+        self.all_full = n > full * max(1, len(sample))
+        ids, count = np.unique(self.leaves(sample)[1], return_counts=True)
+        self.full = ids[count * (n / max(1, len(sample))) > full]
 
     def route(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and shards of all shards that each point belongs to."""
+        row, leaf = self.leaves(fps)
+        if not self.all_full and not len(self.full):
+            return row, leaf
+        full = np.ones(len(leaf), bool) if self.all_full else np.isin(leaf, self.full)
+        rows, shards = [row[~full]], [leaf[~full]]
+        row, leaf = row[full], leaf[full]
+        for i, groups in enumerate(self.groups):
+            own = leaf >> self.depth == i
+            x = fps[row[own]]
+            for g, bits in enumerate(groups):
+                key = np.zeros(len(x), np.int64)
+                for k, b in enumerate(bits.tolist()):
+                    key |= ((x >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << k
+                rows.append(row[own])
+                shards.append((len(BANDS) << self.depth) + ((leaf[own] * len(groups) + g) << len(groups[0])) + key)
+        return np.concatenate(rows), np.concatenate(shards)
+
+    def leaves(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and leaves of all trees that each point belongs to."""
         rows, shards = [], []
         for i, ((shift, bits), tree) in enumerate(zip(BANDS, self.trees, strict=True)):
             row, leaf = tree.route(((fps >> np.uint64(shift)) & np.uint64(2**bits - 1)).astype(np.uint32))
@@ -203,7 +236,7 @@ def _all_links(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 def dense_centres(sample: np.ndarray, forest: Forest, radius: int = RADIUS) -> np.ndarray:
     """Sampled fingerprints that have at least DENSE others of the sample within the radius, greedily chosen
     so that none covers another; the fullest first, MAX_CENTRES at most (what they miss stays in the shards)."""
-    row, shard = forest.route(sample)
+    row, shard = forest.leaves(sample)
     order = np.argsort(shard, kind="stable")
     row, shard = row[order], shard[order]
     cuts = np.flatnonzero(np.diff(shard)) + 1

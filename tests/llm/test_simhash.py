@@ -66,14 +66,15 @@ def test_query_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(groups)
 
 
-def test_trees_lose_no_pair():
+@pytest.mark.parametrize("full, sample", [(simhash.FULL, 1000), (8, 1000), (1, 100)])
+def test_trees_lose_no_pair(full, sample):
     draw = np.random.default_rng(1)
     base = draw.integers(0, 2**64, 3000, dtype=np.uint64)
     near = base.copy()
     for _ in range(4):
         near ^= np.uint64(1) << draw.integers(0, 64, len(near)).astype(np.uint64)
-    forest = simhash.Forest(base[:1000], 6000)
-    assert forest.depth > 5
+    forest = simhash.Forest(base[:sample], 6000, full=full)
+    assert forest.depth > 5 and forest.all_full == (full == 1) and (len(forest.full) > 0) == (full < 100)
     (r1, s1), (r2, s2) = forest.route(base), forest.route(near)
     a = {}
     for r, s in zip(r1, s1):
