@@ -172,7 +172,8 @@ def mix_blocks(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[D
         F.greatest(F.col("block") * block - F.col("g"), F.lit(0)).alias("start"),
         F.least((F.col("block") + 1) * block - F.col("g"), F.col("size")).alias("end"),
     )
-    taken = pieces.join(slotted, ["at", "block"]).select(
+    # Never broadcast, whatever the threshold: the plan's estimate of the slots is the size of what they are drawn from.
+    taken = pieces.join(slotted.hint("merge"), ["at", "block"]).select(
         "row_id", "at", "start", (F.col("end") - F.col("start")).alias("length"), "shard", "slot", "epoch"
     )
     return taken, dim
@@ -218,7 +219,8 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     chosen = F.array_join(
         F.flatten(F.transform("parts", lambda p: F.slice("words", (p["start"] + 1).cast("int"), p["length"].cast("int")))), " "
     )
-    joined = ranges.join(rows.select("row_id", "size"), "row_id").join(whole, "row_id")
+    # Both tables have a row for each document; by the size of their compressed files they would be broadcast.
+    joined = ranges.join(rows.select("row_id", "size").hint("merge"), "row_id").join(whole.hint("merge"), "row_id")
     # words is named twice below: a column named once would be inlined, and split again for each part.
     texts = joined.withColumn("words", F.when(F.col("taken") < F.col("size"), words)).withColumn(
         "chosen", F.when(F.size("words") > 0, chosen).otherwise(F.col("doc.text"))

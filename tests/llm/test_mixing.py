@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -72,6 +73,33 @@ def test_query(spark):
     assert {d: n for d, n in total.items() if n} == words
 
 
+def broadcasts(df):
+    """The subtree of each broadcast in the plan that was run, as text."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    depth = [re.match(r"[ :]*([+:]- )?", x).end() for x in lines]
+    out = []
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            out.append("\n".join(lines[i:end]))
+    return out
+
+
+def test_slots_and_documents_are_not_broadcast(spark):
+    """Whatever the threshold: Spark takes the slots for as few as the rows they are drawn from, and a table for as small as
+    its compressed files. Only what has been shuffled, and so counted, may be broadcast, and the table of sources."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    df = spark.createDataFrame([(i, "w " * 3000, "a") for i in range(100)], "doc_id long, text string, source string")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+        for out in (mixing.mixed_documents(df), mixing.query(df)):
+            assert out.collect()
+            found = broadcasts(out)
+            assert found and [x for x in found if ("MapInArrow" in x or "FileScan" in x) and "ENSURE_REQUIREMENTS" not in x] == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_targets_oracle_says_the_same(spark):
     import duckdb
 
