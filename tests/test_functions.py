@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.functions import privacy, refs, text, urls, vectors
+from quillmesh.plans import queries
 
 
 def one(spark, make, *values):
@@ -95,6 +96,19 @@ def test_privacy(spark):
     assert one(spark, error, " ", "x" * 2001, "a@b.cd", "fine") == ["empty", "too_long", "identifying", None]
 
 
+def test_identifiers_in_long_runs(spark):
+    """Runs of many digits took a stack frame each, and the overflow ended the executor."""
+    values = ["7" * 20000, "1 " * 20000, "7" * 20000 + "x", "+1-" * 20000 + "a", "a." * 20000 + "@", "." * 20000 + "@b.cd", "." * 20000 + "a@b.cd", "1 2 3 4 5 6 77x", "1 2 3 4 5 6 7 x"]
+    assert one(spark, privacy.identifier_kind, *values) == ["phone", "phone", None, "phone", None, None, "email", None, "phone"]
+
+
+def test_pii_queries_with_a_long_run_of_digits(spark, tmp_path):
+    spark.createDataFrame([(1, "7" * 20000), (2, "clean")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("1 " * 20000,), (None,)], "text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(map(tuple, queries.pii_type(spark, str(tmp_path)).collect())) == [(1, "phone"), (2, None)]
+    assert {tuple(r) for r in queries.pii_counts(spark, str(tmp_path)).collect()} == {("phone", 2), (None, 2)}
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([float("nan"), 1.0],), ([1.0],), (None,)], "v array<double>")
     assert [r[0] for r in df.select(vectors.is_valid(F.col("v"), 2)).collect()] == [True, False, False, False, False]
