@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -148,6 +149,24 @@ def test_html(spark):
     assert html.blocks(df).filter("page_id = 1").count() > 4
 
 
+def test_pages_are_held_in_parts(spark, monkeypatch):
+    """Each part is handed on before the next is read, whatever Arrow's batches have."""
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(3 * html.PART + 1)), "html": [f"<p>{i}" for i in range(3 * html.PART + 1)]})
+    parts = list(html.in_parts([batch, batch.slice(0, 0), batch.slice(5, 2)]))
+    assert [p.num_rows for p in parts] == [html.PART] * 3 + [1, 2]
+    assert [i for p in parts[:4] for i in p.column("page_id").to_pylist()] == batch.column("page_id").to_pylist()
+    pages = spark.createDataFrame([(i, f"<p>{i}<a href='/{i}'>x</a>") for i in range(3 * html.PART + 1)], "page_id long, html string").coalesce(1)
+    for make, wanted in ((html.extract, 4), (html.blocks, 4)):
+        held, runs = [], []
+        with monkeypatch.context() as m:
+            m.setattr(type(pages), "mapInArrow", lambda self, f, schema: runs.append(f))
+            make(pages)
+        for out in runs[0](iter([batch])):
+            held.append(out.num_rows)
+        assert len(held) == wanted and sum(held) == batch.num_rows
+    assert sorted((r.page_id, r.text, r.links) for r in html.extract(pages).collect()) == [(i, f"{i}x", [f"/{i}"]) for i in range(3 * html.PART + 1)]
+
+
 def test_titles_as_their_sql_has_them(spark, tmp_path):
     titles = ["a &amp", "token = &quot;77", "&amp;lt; &lt;b&gt;", " a\n\n b\u00a0", "x\u200by\u00ad", "&#39;", "\x0ba"]
     rows = [(i, f"<p>1<title>{t}</title><title>z</title>") for i, t in enumerate(titles)] + [(90, None), (91, "<title>open"), (92, "<TITLE>a</TITLE>")]
