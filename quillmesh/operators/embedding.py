@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,24 +66,30 @@ def hashing_embedder(dimension: int) -> Embedder:
     return embed
 
 
+def _vectors(texts: pa.Array, embedder: Embedder, dimension: int, task: str, batch: int) -> pa.Array:
+    """Unit vectors of a column's texts; of the texts only those of a call are Python strings at a time."""
+    filled = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
+    out = np.empty((len(filled), dimension), np.float32)
+    for start in range(0, len(filled), batch):
+        sent = texts.take(pa.array(filled[start : start + batch])).to_pylist()
+        m = validate(with_retries(lambda t=sent: embedder(t, task)), len(sent), dimension)
+        out[start : start + batch] = m / np.linalg.norm(m, axis=1, keepdims=True)
+    lengths = np.zeros(len(texts), np.int32)
+    lengths[filled] = dimension
+    ends = np.append(np.int32(0), np.cumsum(lengths, dtype=np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()), mask=pa.array(lengths == 0))
+
+
 def embed(df: DataFrame, text: str, embedder: Embedder, dimension: int, task: str = "document", model: str = "hashing", batch: int = BATCH) -> DataFrame:
     """Adds ``embedding``: prefixed, sent in batches with retries, validated and scaled to unit length; null for a null
     text, which is not sent."""
     if dimension < 1 or task not in ("document", "query") or batch < 1:
         raise ValueError("dimension and batch are at least 1, the task is document or query")
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in series:
-            out = pd.Series([None] * len(s), index=s.index, dtype=object)
-            filled = np.flatnonzero(s.notna().to_numpy())
-            for start in range(0, len(filled), batch):
-                at = filled[start : start + batch]
-                texts = s.iloc[at].tolist()
-                m = validate(with_retries(lambda t=texts: embedder(t, task)), len(texts), dimension)
-                for i, v in zip(at, m / np.linalg.norm(m, axis=1, keepdims=True), strict=True):
-                    out.iat[i] = v
-            yield out
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield _vectors(texts, embedder, dimension, task, batch)
 
     return df.withColumn("embedding", run(retrieval_prefix(F.col(text), model, task)))
 

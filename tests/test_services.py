@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,24 @@ def test_generation(spark):
         clients.GenerationClient("m", Service((200, {}, "{}")), "http://s", "k")(body)
 
 
+def test_texts_of_one_call_are_held_at_a_time(spark, monkeypatch):
+    """Texts come as Arrow's column, also in slices with nulls, and only those of a call become strings."""
+    texts = pa.array(["skipped", None, *map(str, range(5)), None, "x"]).slice(1)
+    sent = []
+    client = lambda t, task: sent.append(t) or embedding.hashing_embedder(8)(t, task)
+    got = embedding._vectors(texts, client, 8, "document", 2).to_pylist()
+    assert sent == [["0", "1"], ["2", "3"], ["4", "x"]]
+    assert [v is None for v in got] == [True, *[False] * 5, True, False]
+    for t, v in zip(texts.to_pylist(), got, strict=True):
+        assert t is None or v == pytest.approx(embedding.embed_query(t, embedding.hashing_embedder(8), 8))
+    assert embedding._vectors(pa.array([None, None], pa.string()), client, 8, "document", 2).to_pylist() == [None, None]
+    assert embedding._vectors(pa.array([], pa.string()), client, 8, "document", 2).to_pylist() == []
+    monkeypatch.setattr(embedding.F, "pandas_udf", None)  # a Series holds a whole batch's strings
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else f"t{i}") for i in range(40)], "i int, text string").coalesce(1)
+    rows = embedding.embed(df, "text", embedding.hashing_embedder(8), 8).collect()
+    assert [r.embedding is None for r in rows] == [r.i % 3 == 0 for r in rows]
+
+
 def test_null_texts_are_not_embedded(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, "a b")], "chunk_id long, text string")
     got = {r.chunk_id: r.embedding for r in embedding.embed(df, "text", embedding.hashing_embedder(8), 8).collect()}
